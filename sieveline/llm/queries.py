@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
-from .common import table
+from . import chat, mixing, pieces, sharding, warc
+from .common import new_path, table
 
 
 def op1_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark, sf_dir):
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, html, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+    list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("copy_no")
 
 
+def op6_pieces(spark, sf_dir, model_path=None):
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), model_path)
+
+
 def op10_chat(spark, sf_dir):
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -36,8 +65,8 @@ FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op6_pieces": op6_pieces, "op10_chat": op10_chat}
 
 
 def oracle_sql():
-    return {"op10_chat": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op10_chat": OP10_SQL}
