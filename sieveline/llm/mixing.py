@@ -20,7 +20,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weight_cycle: int = 3,
     the capped ones are a prefix, so one ordered window finds it.  The windows see one row a source.
     """
     one = W.partitionBy(F.lit(0))
-    s = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("source_rows"))
     s = s.withColumn("rank", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1)
     s = s.withColumn("weight", (F.col("rank") % weight_cycle + 1).cast("double"))
     s = s.withColumn("cap", F.col("source_size").cast("double") * max_epochs)
@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weight_cycle: int = 3,
     target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(
         F.least("cap", F.col("water") * F.col("weight"))
     )
-    return s.select("source", "rank", "weight", "source_size", "budget", target.alias("target"))
+    return s.select("source", "rank", "weight", "source_size", "source_rows", "budget", target.alias("target"))
 
 
 def _offsets(blocks: DataFrame, part: list[str], order: str, amount: str) -> DataFrame:
@@ -54,7 +54,7 @@ def mix(
     weight_cycle: int = 3,
     share: float = 1.0,
     seed: int = SEED,
-    rows_per_bucket: int = 16_384,
+    rows_per_bucket: int = 1024,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, digest, copy_no: a row for each row of ``docs``.
 
@@ -81,12 +81,13 @@ def mix(
     rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     rows = rows.withColumn("h", null_safe_hash("doc_id", "source", "size", "digest", "copy_no", seed=seed))
     rows = materialize(rows, "mix-rows")
-    n_rows = rows.count()
-    bits = (buckets_for(n_rows, rows_per_bucket) - 1).bit_length()
+    n_bins = buckets_for(rows.count(), rows_per_bucket)
     sources = source_targets(rows.select("source", "size"), max_epochs, weight_cycle, share)
     sources = materialize(sources, "mix-sources").withColumnRenamed("source", "s_source")
 
-    bucket = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    # a source's order is cut where its own rows ask for it: 2^bits equal ranges of the hash
+    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("source_rows") / rows_per_bucket))).cast("int")
+    bucket = F.call_function("shiftrightunsigned", F.shiftrightunsigned("h", 1), 63 - bits)
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["s_source"]), "inner").drop("s_source")
     rows = rows.withColumn("b", bucket)
     blocks = _offsets(rows.groupBy("rank", "b").agg(F.sum("size").alias("sum")), ["rank"], "b", "sum")
@@ -105,7 +106,6 @@ def mix(
     rows = materialize(rows.select(*key, *info, "rank", "h", "budget", "upto", passes.alias("passes")), "mix-order")
     entries = rows.withColumn("e", F.explode("passes")).drop("passes")
     entries = entries.withColumn("finish", (F.col("upto") + F.col("e") * F.col("source_size")) / F.col("target"))
-    n_bins = 1 << bits
     entries = entries.withColumn("bin", F.least(F.floor(F.col("finish") * n_bins), F.lit(n_bins)).cast("long"))
     bins = _offsets(entries.groupBy("bin").agg(F.sum("size").alias("sum")), [], "bin", "sum")
     by_finish = W.partitionBy("bin").orderBy("finish", "rank", "e", "h", "doc_id", "copy_no")
