@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pieces, sharding, warc
+from . import chat, fingerprints, mixing, pieces, sharding, warc
 from .common import new_path, table
 
 
@@ -43,6 +43,10 @@ def op6_pieces(spark, sf_dir, model_path=None):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), model_path)
 
 
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark, sf_dir):
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -65,7 +69,7 @@ FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op6_pieces": op6_pieces, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op6_pieces": op6_pieces, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
 
 
 def oracle_sql():
