@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, pieces, sharding, warc
+from . import chat, fingerprints, minhash, mixing, pieces, sharding, warc
 from .common import new_path, table
 
 
@@ -35,6 +35,27 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("copy_no")
 
 
+def op5_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id,
+       coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
+
+
 def op6_pieces(spark, sf_dir, model_path=None):
     if model_path is None:
         import public_tokenizers
@@ -69,8 +90,8 @@ FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op6_pieces": op6_pieces, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
 
 
 def oracle_sql():
-    return {"op2_warc": OP2_SQL, "op10_chat": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op5_minhash": OP5_SQL, "op10_chat": OP10_SQL}
