@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, minhash, mixing, pieces, sharding, warc
+from . import caps, chat, fingerprints, minhash, mixing, pieces, sharding, warc
 from .common import new_path, table
 
 
@@ -64,6 +64,24 @@ def op6_pieces(spark, sf_dir, model_path=None):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), model_path)
 
 
+def op7_embeddings(spark, sf_dir):
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+      WHERE list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT d.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, coalesce(m.c, d.vec_id) AS component_id,
+       coalesce(m.c, d.vec_id) = d.vec_id AS kept
+FROM embeddings d LEFT JOIN k ON k.a = d.vec_id LEFT JOIN m ON m.a = d.vec_id
+"""
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -90,8 +108,8 @@ FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op7_embeddings": op7_embeddings, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
 
 
 def oracle_sql():
-    return {"op2_warc": OP2_SQL, "op5_minhash": OP5_SQL, "op10_chat": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op5_minhash": OP5_SQL, "op7_embeddings": OP7_SQL, "op10_chat": OP10_SQL}
