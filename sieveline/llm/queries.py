@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, chat, fingerprints, minhash, mixing, pieces, sharding, warc
+from . import caps, chat, fingerprints, gru, minhash, mixing, pieces, sharding, warc
 from .common import new_path, table
 
 
@@ -31,6 +31,10 @@ FROM m
 """
 
 
+def op3_gru(spark, sf_dir):
+    return gru.score(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("copy_no")
 
@@ -108,7 +112,7 @@ FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op7_embeddings": op7_embeddings, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_gru": op3_gru, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op7_embeddings": op7_embeddings, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
 
 
 def oracle_sql():
