@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, key_runs, local_roots, materialize
 
 SEED = 70_001
 
@@ -138,12 +138,7 @@ def _compare(key: tuple, ids, copies, side, x, caps, cosine: float):
         held = held[:, held.sum(axis=0) > 1]
         first = near & (held @ held.T == 0)
     links = first.astype(np.int64) @ copies
-    root = ids.copy()
-    while True:
-        lower = np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (lower == root).all():
-            return ids, links, root
-        root = lower
+    return ids, links, local_roots(near, ids)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, per_cap: int = 64) -> DataFrame:
@@ -205,33 +200,11 @@ def _links(entries: DataFrame, dim: int, cosine: float, block: int) -> DataFrame
     e = e.repartition("cap", "i", "j").sortWithinPartitions("cap", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(held).combine_chunks()
-            first = [t.column(c)[0].as_py() for c in range(3)]
+        for key, t in key_runs(batches, 3):
             x = np.frombuffer(b"".join(t.column(6).to_pylist()), np.float64).reshape(-1, dim)
             caps = [np.frombuffer(b, np.int64) for b in t.column(7).to_pylist()]
-            got = _compare(tuple(first), t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(3).to_numpy(), x, caps, cosine)
-            if got is None:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["vec_id", "n", "root"])
-
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
-            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            at = 0
-            for end in ends:
-                now = tuple(keys[at])
-                if now != last and held:
-                    if (got := emit(held)) is not None:
-                        yield got
-                    held = []
-                held.append(batch.slice(at, end - at))
-                last, at = now, end
-        if held and (got := emit(held)) is not None:
-            yield got
+            got = _compare(key, t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(3).to_numpy(), x, caps, cosine)
+            if got is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["vec_id", "n", "root"])
 
     return e.mapInArrow(run, "vec_id long, n long, root long")

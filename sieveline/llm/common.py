@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,36 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with equal first ``n_keys`` integer columns, from batches in which they stand together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(n_keys)], axis=1)
+        at = 0
+        for end in [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]:
+            now = tuple(keys[at].tolist())
+            if now != last and held:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(at, end - at))
+            last, at = now, end
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
+def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row reaches over a matrix of links."""
+    root = ids.copy()
+    while True:
+        lower = np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (lower == root).all():
+            return root
+        root = lower
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links -> (node, component) with component the smallest node reachable.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, key_runs, local_roots, materialize
 
 WORD_CACHE = 300_000
 _words: dict[bytes, int] = {}
@@ -133,8 +133,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, slack: float,
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Pairs (a, b) with den * |A and B| >= num * |A or B| on full sets, made from whole texts."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-ids")
-    wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids  # 8 MB at most
-    sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "minhash-sets")
+    sets = materialize(full_sets(_wanted(docs, ids, broadcast_ids), width), "minhash-sets")
     p = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     p = p.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -143,8 +142,86 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int,
     return p.where(F.col("shared") * den >= union * num).select("a", "b")
 
 
+def _wanted(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Documents with an id in ``ids`` (unique, written), one row an id; 8 MB of ids at most are broadcast."""
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def compared_in_blocks(
+    left: DataFrame, docs: DataFrame, width: int, num: int, den: int, block: int = 256, broadcast_ids: int = 1_000_000
+) -> DataFrame:
+    """Links (a, b) among members of long open lists (value, doc_id, c): full sets, compared block by block.
+
+    Lists that share documents make a family.  In a family the largest component needs no comparison within;
+    all other members are compared with everyone, blocks of ``block`` documents with blocks.  A block pair
+    counts shared shingles by a product of incidence matrices over shingles that at least two of its documents
+    hold, and gives each linked document its local root, so no pair is ever written.
+    """
+    tie = left.groupBy("value").agg(F.min("doc_id").alias("lo"))
+    families = connected_components(left.join(tie, "value").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
+    m = left.select("doc_id", "c").distinct().join(families.toDF("doc_id", "family"), "doc_id")
+    m = materialize(m, "minhash-families")
+    per = m.groupBy("family", "c").agg(F.count("*").alias("held"))
+    per = per.groupBy("family").agg(F.max(F.struct("held", "c")).alias("big"), F.sum("held").alias("all"))
+    per = per.select(
+        "family",
+        F.col("big.c").alias("big"),
+        F.ceil(F.col("big.held") / block).cast("int").alias("nb"),
+        F.ceil((F.col("all") - F.col("big.held")) / block).cast("int").alias("ns"),
+    ).where("ns > 0")
+    m = m.join(per, "family").withColumn("large", F.col("c") == F.col("big"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("large"), F.col("nb")).otherwise(F.col("ns"))).cast("int")
+    m = m.withColumn("own", own)
+    to_small = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda i: F.struct(
+        F.lit(0).alias("kind"), F.least("own", i).alias("i"), F.greatest("own", i).alias("j")))
+    to_large = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), i.alias("j")))
+    from_large = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("own").alias("j")))
+    at = F.explode(F.when(F.col("large"), from_large).otherwise(F.concat(to_small, to_large)))
+    m = m.select("family", "doc_id", "c", at.alias("at"))
+    sets = full_sets(_wanted(docs, materialize(m.select("doc_id").distinct(), "minhash-ids"), broadcast_ids), width)
+    m = m.join(materialize(sets, "minhash-sets"), "doc_id").select("family", "at.kind", "at.i", "at.j", "doc_id", "c", "shingles")
+    m = m.repartition("family", "kind", "i", "j").sortWithinPartitions("family", "kind", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in key_runs(batches, 4):
+            ids, comps = t.column(4).to_numpy(), t.column(5).to_numpy()
+            if (comps == comps[0]).all():
+                continue
+            sets = t.column(6).combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy())
+            row = np.repeat(np.arange(len(ids)), sizes)
+            names, column, held = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(held > 1)
+            place = np.full(len(names), -1)
+            place[shared] = np.arange(len(shared))
+            column = place[column]
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            for start in range(0, len(shared), 4096):
+                here = (column >= start) & (column < start + 4096)
+                x = np.zeros((len(ids), min(4096, len(shared) - start)), np.float32)
+                x[row[here], column[here] - start] = 1
+                both += x @ x.T
+            both = both.astype(np.int64)
+            near = both * den >= (sizes[:, None] + sizes[None, :] - both) * num
+            near &= ids[:, None] != ids[None, :]
+            hit = near.any(axis=1)
+            if hit.any():
+                roots = local_roots(near[hit][:, hit], ids[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
+
+    return m.mapInArrow(run, "a long, b long").where("a <> b")
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, k: int = 64, slack: float = 0.2, star_rounds: int = 2
+    docs: DataFrame,
+    width: int = 5,
+    num: int = 80,
+    den: int = 100,
+    k: int = 64,
+    slack: float = 0.2,
+    star_rounds: int = 2,
+    short_list: int = 16,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``.
 
@@ -157,8 +234,9 @@ def near_duplicates(
     3. Star rounds: each list's members are compared with one center, by union sketch, then on full sets.
        Verified links make components; a list whose members are all of one component is done.  Large groups
        of near copies end here, with about one comparison a document.
-    4. Pairs of different components that still share a list are compared one by one, however many.
-       Pairs within a component need no comparison: they are linked already.
+    4. What is left: pairs of different components that still share a list of at most ``short_list`` documents
+       are compared one by one; longer lists are compared in blocks (``compared_in_blocks``).  Pairs within a
+       component need no comparison: they are linked already.
 
     Nothing is capped or dropped.  A link at exactly the threshold passes the sketch filter with probability
     1 - 1e-5 (k = 64, slack 0.2), higher ones nearly always; sets of at most k * threshold shingles exactly.
@@ -185,15 +263,17 @@ def near_duplicates(
     for r in range(star_rounds + 1):
         c = comps.select(F.col("node").alias("doc_id"), "component")
         m = lists.join(c, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        open_ = m.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)), "doc_id", "n", "c")).alias("m"))
+        open_ = m.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)), "doc_id", "n", "c")).alias("m"), F.count("*").alias("held"))
         open_ = open_.where("lo < hi")
         if r < star_rounds:
             both = m.join(open_.select("value", "m.doc_id", "m.n", "m.c").toDF("value", "a", "na", "ca"), "value")
             pairs = both.select("a", "na", "ca", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
             pairs = pairs.where("ca <> cb")
         else:
-            left = m.join(open_.select("value"), "value", "left_semi")
-            left = materialize(left, "minhash-open")
+            left = materialize(m.join(open_.select("value", "held"), "value"), "minhash-open")
+            long_ = left.where(F.col("held") > short_list)
+            links = links.union(materialize(compared_in_blocks(long_, docs, width, num, den), "minhash-links"))
+            left = left.where(F.col("held") <= short_list)
             x = left.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             y = left.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
             pairs = x.join(y, "value").where("ca < cb")
