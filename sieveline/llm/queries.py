@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, chat, fingerprints, gru, minhash, mixing, pieces, sharding, warc
+from . import caps, chat, fingerprints, gru, language, minhash, mixing, pieces, sharding, warc
 from .common import new_path, table
 
 
@@ -60,12 +60,15 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
 
 
-def op6_pieces(spark, sf_dir, model_path=None):
-    if model_path is None:
-        import public_tokenizers
+def piece_model() -> str:
+    """Path of the public merge-type vocabulary; it lies at the same place on every worker."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
-        model_path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), model_path)
+
+def op6_pieces(spark, sf_dir, model_path=None):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), model_path or piece_model())
 
 
 def op7_embeddings(spark, sf_dir):
@@ -86,6 +89,17 @@ FROM embeddings d LEFT JOIN k ON k.a = d.vec_id LEFT JOIN m ON m.a = d.vec_id
 """
 
 
+def op8_language(spark, sf_dir):
+    found = language.identify(language.of_documents(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id").drop("text_hash")
+
+
+def language_id_pages(spark, sf_dir):
+    """The same evidence model over raw pages: markup language, address suffix, hosts."""
+    found = language.identify(language.of_pages(table(spark, sf_dir, "pages")))
+    return found.withColumnRenamed("id", "page_id").drop("text_hash")
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -112,7 +126,7 @@ FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_gru": op3_gru, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op7_embeddings": op7_embeddings, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_gru": op3_gru, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash, "op6_pieces": op6_pieces, "op7_embeddings": op7_embeddings, "op8_language": op8_language, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat, "language_id_pages": language_id_pages}
 
 
 def oracle_sql():
