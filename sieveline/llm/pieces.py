@@ -7,7 +7,9 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -44,7 +46,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type (BPE) SentencePiece vocabulary: encode, decode, and caches of bounded size."""
 
-    def __init__(self, path: str, end_id: int = 2, cache_size: int = 400_000):
+    def __init__(self, path: str, end_id: int = 2, cache_size: int = 700_000):
         self.path, self.end_id, self.cache_size = path, end_id, cache_size
         blob = open(path, "rb").read()  # noqa: SIM115
         self.pieces: list[str] = []
@@ -69,7 +71,9 @@ class PieceModel:
         if USER_DEFINED in self.types or UNUSED in self.types:
             raise ValueError("user-defined and unused pieces are not supported")
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] == NORMAL}
+        self.cost = {p: -self.scores[i] for p, i in self.ids.items()}.get
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
+        self.last_special = max(i for i, t in enumerate(self.types) if t != NORMAL)
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.unk = self.types.index(UNKNOWN)
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -80,36 +84,40 @@ class PieceModel:
 
     def merge(self, part: str) -> list[str]:
         """Pieces of ``part``: of all adjacent pairs that form a piece, the best score (then the leftmost) joins first."""
-        if part in self.ids and len(part) == 1:
-            return [part]
         symbols = list(part)
         n = len(symbols)
+        if n == 1:
+            return symbols
+        cost, push, pop = self.cost, heapq.heappush, heapq.heappop
+        agenda = [(c, i, i + 1, both) for i, both in enumerate(map(str.__add__, symbols, symbols[1:])) if (c := cost(both)) is not None]
+        if not agenda:
+            return symbols
+        heapq.heapify(agenda)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right >= 0:
-                both = symbols[left] + symbols[right]
-                if (found := self.ids.get(both)) is not None:
-                    heapq.heappush(agenda, (-self.scores[found], left, right, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
         while agenda:
-            _, left, right, both = heapq.heappop(agenda)
+            _, left, right, both = pop(agenda)
             if not symbols[left] or not symbols[right] or symbols[left] + symbols[right] != both:
                 continue  # one of the two has been joined to another since
             symbols[left], symbols[right] = both, ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            offer(before[left], left)
-            offer(left, after[left])
+            after[left] = far = after[right]
+            if far >= 0:
+                before[far] = left
+                joined = both + symbols[far]
+                if (c := cost(joined)) is not None:
+                    push(agenda, (c, left, far, joined))
+            if (near := before[left]) >= 0:
+                joined = symbols[near] + both
+                if (c := cost(joined)) is not None:
+                    push(agenda, (c, near, left, joined))
         return [s for s in symbols if s]
 
     def part_ids(self, part: str) -> list[int]:
+        merged = self.merge(part)
+        out = list(map(self.ids.get, merged))
+        if None not in out:
+            return out
         out = []
-        for p in self.merge(part):
+        for p in merged:
             if (i := self.ids.get(p)) is not None:
                 out.append(i)
             elif self.byte_ids:
@@ -119,18 +127,61 @@ class PieceModel:
         return out
 
     def parts(self, text: str) -> list[str]:
+        """Keys of the parts of a text, which no piece joins: a word stands for itself after a space mark, a
+        key that starts with a space mark for itself, one that starts with a line feed for that and what follows.
+        """
         if not text:
             return []
-        marked = SPACE + text.replace(" ", SPACE)
-        return self.part.findall(marked) if self.part else [marked]
-
-    def encode_text(self, text: str) -> tuple[str, int]:
-        """Ids in decimal joined by spaces, and their number, with the end id."""
-        joined = " ".join(map(self.cache.__getitem__, self.parts(text)))
-        joined = f"{joined} {self.end_id}" if joined else str(self.end_id)
-        return joined, joined.count(" ") + 1
+        if self.part is None:
+            return [SPACE + text.replace(" ", SPACE)]
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            if line[:1] != " " and line[-1:] != " " and "  " not in line and SPACE not in line:
+                found = line.split(" ")
+                if i:
+                    found[0] = "\n" + found[0]
+                elif not found[0]:
+                    found[0] = SPACE
+            else:
+                marked = line.replace(" ", SPACE)
+                found = self.part.findall(marked if i else SPACE + marked)
+                if i:
+                    found[:1] = ["\n", found[0]] if found[0][0] == SPACE else ["\n" + found[0]]
+            out += found
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def key_ids(self, key: str) -> list[int]:
+        if key[0] == SPACE:
+            return self.part_ids(key)
+        if key[0] != "\n":
+            return self.part_ids(SPACE + key)
+        return self.part_ids("\n") + (self.part_ids(key[1:]) if len(key) > 1 else [])
+
+    def agrees(self, keys: list[str], library) -> bool:
+        """Whether the library gives the same ids and texts for parts; it puts a space mark before every text."""
+        own = [list(struct.unpack(f"={len(p) // 4}i", p)) for _, p, _ in map(self.cache.__getitem__, keys)]
+        asked = ["\n " if k == SPACE else k[1:].replace(SPACE, " ") if k[0] == SPACE else k for k in keys]
+        theirs = library.encode(asked, num_threads=1)
+        theirs = [t[2:] if k == SPACE else t[1:] if k[0] == "\n" else t for k, t in zip(keys, theirs)]
+        return theirs == own and library.decode(own) == [self.decode(ids) for ids in own]
+
+    def encode_text(self, text: str) -> tuple[str, bytes, str]:
+        """A text's ids with the end id: in decimal joined by spaces, as 32-bit numbers; and the text they decode to.
+
+        Parts are encoded and decoded apart: no piece joins two parts, and the bytes of a character stay together.
+        """
+        found = list(map(self.cache.__getitem__, self.parts(text)))
+        found.append((str(self.end_id), struct.pack("=i", self.end_id), ""))
+        back = "".join(map(itemgetter(2), found))
+        return " ".join(map(itemgetter(0), found)), b"".join(map(itemgetter(1), found)), back[1:] if back[:1] == " " else back
+
+    def decode_part(self, ids: list[int]) -> str:
+        """Text of ids, the dummy prefix still in place."""
+        if min(ids) > self.last_special:
+            return "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ")
+        return self.decode(ids, prefix=True)
+
+    def decode(self, ids: list[int], prefix: bool = False) -> str:
         """Text of ids: control pieces are dropped, byte pieces decoded together, the dummy prefix removed."""
         out, raw = [], bytearray()
         for i in ids:
@@ -147,20 +198,29 @@ class PieceModel:
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        return text[1:] if text[:1] == " " and not prefix else text
 
 
 class _Cache(dict):
-    """part -> its ids as text; emptied when full; parts that are very long are not kept."""
+    """part -> (ids as text, ids as 32-bit numbers, decoded text) in two generations of bounded size.
+
+    When the young one is full it becomes the old one; what is still used moves on.  Very long parts are not kept.
+    """
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, part: str) -> str:
-        found = " ".join(map(str, self.model.part_ids(part)))
+        self.model, self.old = model, {}
+        self.made: list[str] = []  # parts encoded since the last check
+
+    def __missing__(self, part: str) -> tuple[str, bytes, str]:
+        found = self.old.get(part)
+        if found is None:
+            ids = self.model.key_ids(part)
+            self.made.append(part)
+            found = (" ".join(map(str, ids)), struct.pack(f"={len(ids)}i", *ids), self.model.decode_part(ids))
         if len(part) <= 64:
             if len(self) >= self.model.cache_size:
+                self.old = dict(self)
                 self.clear()
             self[part] = found
         return found
@@ -178,13 +238,15 @@ def _model(path: str) -> PieceModel:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees (and ids where asked): a row a document.
 
-    Every text is encoded by the agenda, with an end id only, and decoded from those ids.  With ``check``
-    each Arrow batch goes through the sentencepiece library too; where it differs, its ids and text are
-    returned and ``agrees`` is false.  ``model_path`` must exist on every worker.  Memory: a batch, the
-    longest text's symbols, and a cache of bounded size.
+    Every text is encoded by the agenda, with an end id only, and decoded from those ids.  The sentencepiece
+    library checks each Arrow batch: with ``check`` "parts" ids and text of every part that the agenda has
+    encoded for it, with "texts" those of every whole text, with "" nothing.  Where they differ the batch's
+    rows have the library's ids and text, and ``agrees`` is false where those differ from ours.
+    ``model_path`` must exist on every worker.  Memory: a batch, the longest text's symbols, and a cache of
+    bounded size.
 
     Null text is empty: the end id alone, decoded to an empty text.  Null ids and repeated rows stay as they
     are.  Empty table: no rows.  Only doc_id and text are read.
@@ -199,31 +261,28 @@ def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids:
             library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         sha = hashlib.sha256
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):  # bounds what is held as Python objects
+                piece = batch.slice(at, 64)
                 texts = [t or "" for t in piece.column(1).to_pylist()]
-                counts, id_sha, text_sha, agrees, all_ids = [], [], [], [], []
-                for text in texts:
-                    joined, n = model.encode_text(text)
-                    own = list(map(int, joined.split()))
-                    back = model.decode(own)
-                    same = True
-                    if library is not None:
-                        theirs = library.encode(text) + [model.end_id]
-                        their_back = library.decode(theirs)
-                        if theirs != own or their_back != back:
-                            same, own, n, back = False, theirs, len(theirs), their_back
-                            joined = " ".join(map(str, theirs))
-                    counts.append(n)
-                    id_sha.append(sha(joined.encode()).hexdigest())
-                    text_sha.append(sha(back.encode()).hexdigest())
-                    agrees.append(same)
-                    if ids:
-                        all_ids.append(own)
-                cols = [piece.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(id_sha), pa.array(text_sha), pa.array(agrees)]
+                rows = list(map(model.encode_text, texts))
+                agrees = [True] * len(rows)
+                made, model.cache.made = model.cache.made, []
+                if library is not None and (check == "texts" or not model.agrees(made, library)):
+                    for i, theirs in enumerate(library.encode(texts, num_threads=1)):
+                        theirs.append(model.end_id)
+                        right = (" ".join(map(str, theirs)), np.array(theirs, np.int32).tobytes(), library.decode(theirs))
+                        agrees[i] = right == rows[i]
+                        rows[i] = right
+                cols = [
+                    piece.column(0).cast(pa.int64()),
+                    pa.array([len(packed) // 4 for _, packed, _ in rows], pa.int64()),
+                    pa.array([sha(joined.encode()).hexdigest() for joined, _, _ in rows]),
+                    pa.array([sha(back.encode()).hexdigest() for _, _, back in rows]),
+                    pa.array(agrees),
+                ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
                 if ids:
-                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    cols.append(pa.array([np.frombuffer(packed, np.int32) for _, packed, _ in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
