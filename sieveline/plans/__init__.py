@@ -1 +1 @@
-
+"""Frozen parameters that operators are planned from."""
