@@ -22,6 +22,8 @@ def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         "conv_id",
         "turn",
         F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block).alias("blk"),
+        "role",
+        F.xxhash64("text").alias("th"),
         null_safe_hash("turn", "role", "text", seed=1).alias("h1"),
         null_safe_hash("turn", "role", "text", seed=2).alias("h2"),
     ).distinct()
@@ -36,7 +38,7 @@ def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         *[F.coalesce(f(c).over(up), F.lit(0)).alias(c) for f, c in ((F.bit_xor, "b1"), (F.bit_xor, "b2"), (F.sum, "bn"))],
         F.lead("blk").over(by_block).isNull().alias("last_blk"),
     )
-    order = W.partitionBy("conv_id", "blk").orderBy(F.col("turn").asc_nulls_first(), "h1", "h2")
+    order = W.partitionBy("conv_id", "blk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "th", "h1")
     run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     t = t.select(
         "conv_id",
@@ -80,7 +82,7 @@ def render(turns: DataFrame, kept: DataFrame, block: int = BLOCK, begin: str = "
     """conv_id, part, n_turns, n_copies, rendered: one row a conversation and block of ``block`` turn numbers.
 
     A turn is ``begin`` role newline text ``end`` newline; null role or text is empty.  Turns are in order of
-    turn number (null first), then role, then text.
+    turn number (null first), then role (null first), then hash of the text.
     """
     t, k = turns.alias("t"), kept.alias("k")
     own = t.join(k, F.col("t.conv_id").eqNullSafe(F.col("k.conv_id"))).select(
@@ -88,7 +90,7 @@ def render(turns: DataFrame, kept: DataFrame, block: int = BLOCK, begin: str = "
         F.floor(F.coalesce(F.col("t.turn"), F.lit(-1)) / block).alias("part"),
         "k.n_turns",
         "k.n_copies",
-        F.struct("t.turn", "t.role", "t.text").alias("x"),
+        F.struct("t.turn", "t.role", F.xxhash64("t.text").alias("th"), "t.text").alias("x"),
     )
     piece = F.transform(
         F.sort_array(F.collect_set("x")),
