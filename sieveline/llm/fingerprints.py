@@ -217,11 +217,12 @@ def peeled(pairs: DataFrame, passes: int = 6) -> DataFrame:
     signed = F.concat(
         F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))),
         F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("n"))),
+        F.array(F.struct(F.lit(None).cast("long").alias("k"), F.lit(0).alias("n"))),  # so that each pair has a row
     )
     none = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
     # a cell's number holds m, the part, and the place in the part
     place = lambda i, m, k="k": f"(({m}) << 48) | ({i}L << 46) | ((xxhash64(17L, {k}) >>> {20 * i}) & ((1L << cast({m} AS int)) - 1))"
-    keys = pairs.select("bucket", "pid", m.alias("m"), F.explode_outer(signed).alias("x")).select("bucket", "pid", "m", "x.k", "x.n")
+    keys = pairs.select("bucket", "pid", m.alias("m"), F.explode(signed).alias("x")).select("bucket", "pid", "m", "x.k", "x.n")
     into = F.array(*[F.struct(F.expr(place(i, "m")).alias("cell"), "n", "k", _check(F.col("k")).alias("c")) for i in range(3)])
     cells = keys.select("bucket", "pid", F.explode(F.when(F.col("k").isNull(), F.array(none)).otherwise(into)).alias("x"))
 
