@@ -15,8 +15,13 @@ from .common import connected_components, key_runs, local_roots, materialize
 SEED = 70_001
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _sphere(dim: int, cells: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of a fixed unit vector with a random one, and their probabilities."""
+    if dim == 1:
+        return np.array([-1.0, 1.0]), np.array([0.5, 0.5])
+    angle = (np.arange(cells) + 0.5) * math.pi / cells
+    weight = np.sin(angle) ** (dim - 2)
+    return -np.cos(angle), weight / weight.sum()
 
 
 class Plan:
@@ -30,18 +35,20 @@ class Plan:
     def __init__(self, n: int, dim: int, cosine: float, per_cap: int = 64, miss: float = 1e-5, spare: float = 2.0, codes: int = 12):
         self.dim, self.cosine, self.codes = dim, cosine, codes
         share = min(0.02, per_cap / max(n, 1))
-        lo, hi = 0.0, 12.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _tail(mid) > share else (lo, mid)
-        self.z = lo
-        z = np.linspace(lo, lo + 6, 2000)
-        density = np.exp(-z * z / 2)
-        other = np.array([_tail((lo - cosine * x) / math.sqrt(1 - cosine**2)) for x in z])
-        both = float((density * other).sum() / density.sum())
+        # the cap: the least inner product that this share of directions reaches
+        s, p = _sphere(dim)
+        above = np.cumsum(p[::-1])[::-1]
+        self.least = float(s[np.flatnonzero(above <= share)[0]]) if (above <= share).any() else float(s[-1])
+        # of the directions whose cap holds a vector, those whose cap also holds one at the threshold
+        inside = s >= self.least
+        v, q = _sphere(max(1, dim - 1), 500)
+        other = cosine * s[inside][:, None] + math.sqrt(1 - cosine**2) * np.sqrt(1 - s[inside] ** 2)[:, None] * v[None, :]
+        both = float(((other >= self.least) @ q) @ p[inside] / p[inside].sum())
+        both = min(max(both, 0.05), 0.999)
         self.caps = math.ceil(spare * math.log(miss) / math.log(1 - both))
         per_code = self.caps / share / codes
-        self.blocks = min(dim, max(2, math.ceil(math.log2(max(per_code, 2)) / 12)))
+        # words of few components cannot share a vector's length evenly: no structure there
+        self.blocks = 1 if dim < 16 else max(2, math.ceil(math.log2(max(per_code, 2)) / 12))
         self.size = max(2, math.ceil(per_code ** (1 / self.blocks)))
         self.cuts = [round(i * dim / self.blocks) for i in range(self.blocks + 1)]
 
@@ -62,7 +69,7 @@ class Plan:
 
         Blocks are joined one by one; a beginning stays only if the best of the other blocks can complete it.
         """
-        need = self.z / math.sqrt(self.dim) * math.sqrt(self.blocks)
+        need = self.least * math.sqrt(self.blocks)
         best = [p.max() for p in products]
         rest = [sum(best[i + 1 :]) for i in range(self.blocks)]
         keep = np.flatnonzero(products[0] >= need - rest[0])
