@@ -37,14 +37,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).otherwise(0)
     times = materialize(mixed.select("doc_id", "source", "digest", "size", passes.alias("passes")).where("passes > 0"), "pipeline-passes")
     times = times.groupBy("doc_id", "source", "digest").agg(F.max("passes").alias("passes"))
-    d, t = docs.withColumn("_digest", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("d"), times.alias("t")
+    # a row travels as one value, so its columns may have any names
+    digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    d, t = docs.select(F.struct("*").alias("row"), digest.alias("digest")).alias("d"), times.alias("t")
     on = (
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("t.source"))
-        & (F.col("d._digest") == F.col("t.digest"))
+        F.col("d.row.doc_id").eqNullSafe(F.col("t.doc_id"))
+        & F.col("d.row.source").eqNullSafe(F.col("t.source"))
+        & (F.col("d.digest") == F.col("t.digest"))
     )
-    out = d.join(t, on).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    return out.select(*[F.col(f"d.{c}") for c in docs.columns])
+    out = d.join(t, on).select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

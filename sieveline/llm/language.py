@@ -105,12 +105,15 @@ def identify(rows: DataFrame, model: TextModel | None = None, least: float = LEA
     language is null where "no known language" wins, the best one's posterior is under ``least``, or there
     is no text; such documents are not kept.
 
-    Null declared, suffix or host: no evidence of that kind.  Null ids and repeated rows are rows like others.
+    No labelled row to fit on: nothing is known, no document is kept.  Null declared, suffix or host: no evidence of that kind.  Null ids and repeated rows are rows like others.
     Empty table: no rows.
     """
     model = model or fit(rows)
     langs = model.languages
     n_lang = len(langs)
+    if not langs:
+        none = [F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("kept")]
+        return rows.select("id", F.xxhash64("text").alias("text_hash"), "declared", *none)
     light = with_text_evidence(rows, model)
     best = F.array_position(F.col("ll"), F.array_max("ll")).cast("int") - 1
     light = materialize(light.withColumn("best", F.when(F.col("ll").isNotNull(), best)), "language-evidence")
@@ -182,13 +185,12 @@ def keep_identified(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame
     ``broadcast_rows`` (12 MB) and their other columns need no change; otherwise both sides are shuffled.
     """
     found = materialize(identify(of_documents(docs)), "language-found")
-    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_hash")]
-    odd = found.where("not kept or not (declared <=> language)").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "kept", "language").distinct()
+    odd = found.where("not kept or not (declared <=> language)").select("id", "text_hash", "kept", "language").distinct()
     odd = materialize(odd, "language-odd")
-    if odd.count() <= broadcast_rows:
-        odd = F.broadcast(odd.withColumnRenamed("kept", "_kept").withColumnRenamed("language", "_language"))
-    else:
-        odd = odd.withColumnRenamed("kept", "_kept").withColumnRenamed("language", "_language")
-    out = docs.join(odd, key[0] & key[1], "left").where("_kept is null or _kept")
-    lang = F.when(F.col("_kept").isNull(), F.col("lang")).otherwise(F.col("_language"))
-    return out.select(*[lang.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    odd = (F.broadcast(odd) if odd.count() <= broadcast_rows else odd).alias("o")
+    # a row travels as one value, so its columns may have any names
+    given = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash")).alias("g")
+    on = F.col("g.id").eqNullSafe(F.col("o.id")) & (F.col("g.text_hash") == F.col("o.text_hash"))
+    out = given.join(odd, on, "left").where("o.kept is null or o.kept")
+    lang = F.when(F.col("o.kept").isNull(), F.col("row.lang")).otherwise(F.col("o.language"))
+    return out.select(*[(lang if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -65,15 +65,13 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = SEED
     """
     places = materialize(shard(docs, n_shards, seed), "shard-places")
     text = F.coalesce(F.col("text"), F.lit(""))
-    payload = docs.select(
-        "*", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).cast("long").alias("_crc")
-    ).dropDuplicates(["doc_id", "_size", "_crc"])
-    on = [
-        payload["doc_id"].eqNullSafe(places["doc_id"]),
-        payload["_size"] == places["size"],
-        payload["_crc"] == places["text_crc32"],
-    ]
-    cols = [c for c in docs.columns if c not in ("shard", "slot")]
-    out = payload.join(places, on).select(*[payload[c] for c in cols], places["shard"], places["slot"])
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long")
+    # a row travels as one value, so its columns may have any names
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), size.alias("bytes"), crc.alias("crc"))
+    rows = rows.dropDuplicates(["id", "bytes", "crc"]).alias("r")
+    p = places.alias("p")
+    on = F.col("r.id").eqNullSafe(F.col("p.doc_id")) & (F.col("r.bytes") == F.col("p.size")) & (F.col("r.crc") == F.col("p.text_crc32"))
+    cols = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    out = rows.join(p, on).select(*cols, F.col("p.shard").alias("shard"), F.col("p.slot").alias("slot"))
     files = max(n_shards, places.count() // rows_per_file)
     out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
