@@ -101,7 +101,17 @@ class Corpus:
 
 
 def corpus_of(counts: DataFrame, n_docs: int) -> Corpus:
-    top = counts.orderBy(F.col("n").desc(), "word").limit(DICTIONARY).toPandas()
+    """The dictionary is all words above a count that at most ``DICTIONARY`` words exceed, found by a histogram."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    held = counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.col("step").desc()).collect()  # 1000 at most
+    least, sum_ = None, 0
+    for r in held:
+        sum_ += r["v"]
+        if sum_ > DICTIONARY:
+            break
+        least = r["step"]
+    top = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
+    top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     named = min(VOCABULARY, len(top))
     all_ = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     mass = np.ones(KINDS)
@@ -183,7 +193,9 @@ class Network:
             before[t] = h
             g = gates[t]
             hu = h @ u
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * s] + hu[:, : 2 * s])))
+            zr = np.tanh((g[:, : 2 * s] + hu[:, : 2 * s]) * np.float32(0.5))
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
             z, r = zr[:, :s], zr[:, s:]
             n = np.tanh(g[:, 2 * s :] + r * hu[:, 2 * s :])
             if keep:
@@ -196,21 +208,44 @@ class Network:
         a = a - a.max(axis=1, keepdims=True)
         return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
 
-    def outputs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each symbol given the state before it; with ``grads`` also dh."""
+    def _small(self) -> bool:
+        """Whether no output can overflow an exponential, states being between -1 and 1."""
+        most = lambda w, b: float((np.abs(w).sum(axis=-2) + np.abs(b)).max())
+        return max(most(self.p["wc"], self.p["bc"]), most(self.p["ww"], self.p["bw"])) < 80
+
+    @staticmethod
+    def _picked(a: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+        """Log softmax of one entry a row; overwrites ``a``."""
+        if not small:
+            a -= a.max(axis=1, keepdims=True)
+        chosen = a[np.arange(len(a)), at]
+        return chosen - np.log(np.exp(a, out=a).sum(axis=1))
+
+    def scores(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of each symbol given the state before it."""
+        p, small = self.p, self._small()
+        named = ids < VOCABULARY
+        cls = np.where(named, ids // PER_CLASS, ids - VOCABULARY + self.classes)
+        out = self._picked(h @ p["wc"] + p["bc"], cls, small).astype(np.float64)
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        hs, ws = h[order], ids[order] % PER_CLASS
+        for c in range(self.classes):
+            w = slice(ends[c], ends[c + 1])
+            if ends[c] < ends[c + 1]:
+                out[order[w]] += self._picked(hs[w] @ p["ww"][c] + p["bw"][c], ws[w], small)
+        return out
+
+    def outputs(self, h: np.ndarray, ids: np.ndarray, grads: dict):
+        """Adds the outputs' gradients to ``grads``; returns that of the states."""
         p = self.p
         named = ids < VOCABULARY
         cls = np.where(named, ids // PER_CLASS, ids - VOCABULARY + self.classes)
-        logp = self._log_softmax(h @ p["wc"] + p["bc"])
-        rows = np.arange(len(ids))
-        out = logp[rows, cls].astype(np.float64)
-        dh = None
-        if grads is not None:
-            d = np.exp(logp)
-            d[rows, cls] -= 1
-            grads["wc"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
+        d = np.exp(self._log_softmax(h @ p["wc"] + p["bc"]))
+        d[np.arange(len(ids)), cls] -= 1
+        grads["wc"] += h.T @ d
+        grads["bc"] += d.sum(0)
+        dh = d @ p["wc"].T
         known = np.flatnonzero(named)
         known = known[np.argsort(cls[known], kind="stable")]
         ends = np.searchsorted(cls[known], np.arange(self.classes + 1))
@@ -218,15 +253,12 @@ class Network:
             at = known[ends[c] : ends[c + 1]]
             if len(at):
                 hc, w = h[at], ids[at] % PER_CLASS
-                logw = self._log_softmax(hc @ p["ww"][c] + p["bw"][c])
-                out[at] += logw[np.arange(len(at)), w]
-                if grads is not None:
-                    d = np.exp(logw)
-                    d[np.arange(len(at)), w] -= 1
-                    grads["ww"][c] += hc.T @ d
-                    grads["bw"][c] += d.sum(0)
-                    dh[at] += d @ p["ww"][c].T
-        return out, dh
+                d = np.exp(self._log_softmax(hc @ p["ww"][c] + p["bw"][c]))
+                d[np.arange(len(at)), w] -= 1
+                grads["ww"][c] += hc.T @ d
+                grads["bw"][c] += d.sum(0)
+                dh[at] += d @ p["ww"][c].T
+        return dh
 
     def gradients(self, ids: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray):
         """Truncated backpropagation through one window; ``used`` marks tokens that count."""
@@ -234,9 +266,8 @@ class Network:
         before, after, kept = self.window(ids, fresh, h, True)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         at = np.flatnonzero(used.ravel())
-        _, d = self.outputs(before.reshape(-1, s)[at], ids.ravel()[at], grads)
         dout = np.zeros((ids.size, s), np.float32)
-        dout[at] = d
+        dout[at] = self.outputs(before.reshape(-1, s)[at], ids.ravel()[at], grads)
         dout = dout.reshape(before.shape)
         dx = np.empty((*ids.shape, 3 * s), np.float32)
         dh = np.zeros_like(h)
@@ -285,7 +316,7 @@ def score_group(net: Network, docs: list[np.ndarray], n_lanes: int = 256, steps:
         before, h, _ = net.window(ids[w, :alive], fresh[w, :alive], h[:alive], False)
         own = owner[w, :alive].ravel()
         real = np.flatnonzero(own >= 0)
-        logp, _ = net.outputs(before.reshape(-1, STATE)[real], ids[w, :alive].ravel()[real])
+        logp = net.scores(before.reshape(-1, STATE)[real], ids[w, :alive].ravel()[real])
         total += np.bincount(own[real], logp, len(docs))
     return total
 
@@ -349,7 +380,7 @@ def train(docs: DataFrame, corpus: Corpus, share: int = SHARE, rounds: int = ROU
                 seen += train_group(own, [g[-1] for g in group], adam, rate)
             if seen:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_64_intdigest(own.p["u"].tobytes()) % 64], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.pack()])],
+                    [pa.array([xxhash.xxh3_64_intdigest(own.p["u"].tobytes()) % 2**31], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.pack()])],
                     names=["g", "n", "net"],
                 )
 
@@ -362,12 +393,15 @@ def train(docs: DataFrame, corpus: Corpus, share: int = SHARE, rounds: int = ROU
                     total = {a: v * k + (0 if total is None else total[a]) for a, v in one.items()}
             if n:
                 out = Network({a: (v / n).astype(np.float32) for a, v in total.items()}).pack()
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([out])], names=["g", "n", "net"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(out) % 2**31], pa.int32()), pa.array([n], pa.int64()), pa.array([out])], names=["g", "n", "net"])
 
         sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == i).select("text")
         trained = sample.mapInArrow(run, "g int, n long, net binary")
-        meant = trained.repartition(8, "g").mapInArrow(mean, "g int, n long, net binary")
-        last = meant.repartition(1).mapInArrow(mean, "g int, n long, net binary").collect()
+        width = sample.rdd.getNumPartitions()
+        while width > 32:  # a tree: about 32 copies meet in a task
+            width = -(-width // 32)
+            trained = trained.repartition(width, "g").mapInArrow(mean, "g int, n long, net binary")
+        last = trained.repartition(1).mapInArrow(mean, "g int, n long, net binary").collect()
         blob.unpersist()
         if last:
             net = Network.unpack(bytes(last[0]["net"]))
