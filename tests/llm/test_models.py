@@ -128,8 +128,8 @@ ALPHABET = st.one_of(st.sampled_from(" ▁\n\tabethin<0xA>é€𝄞\x00.,"), st.
 def test_pieces_equal_the_library(both, text):
     model, library = both
     ids = library.encode(text) + [model.end_id]
-    joined, packed, back = model.encode_text(text)
-    assert np.frombuffer(packed, np.int32).tolist() == ids == list(map(int, joined.split()))
+    joined, back = model.encode_text(text)
+    assert ids == list(map(int, joined.split()))
     assert back == library.decode(ids) == model.decode(ids)
     assert model.agrees([k for k in set(model.parts(text))], library)
 

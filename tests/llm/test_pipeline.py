@@ -59,3 +59,36 @@ def test_stages_take_odd_rows(spark):
             assert out.columns == given.columns, name
             out.collect()
     assert language.identify(language.of_documents(odd)).count() == 3
+
+
+def test_against_a_plain_version(spark):
+    """Brute-force near-duplicates, repeated dealing of the budget, and the library's tokens."""
+    import collections
+    import hashlib
+
+    import sentencepiece
+    from test_minhash import components
+    from test_mixing_sharding import water
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    languages = {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
+    assert len(languages) >= 0.98 * len(rows)
+    own = components([(i, rows[i].text) for i in sorted(languages)], 5, 80, 100)
+    kept = {i for i, (_, c) in own.items() if i == c}
+    out = collections.Counter()
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    got = corpus_pipeline.run(spark, SF).collect()
+    for r in got:
+        ids = library.encode(rows[r.doc_id].text) + [2]
+        assert r.doc_id in kept and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        out[r.doc_id] += 1
+    size = {i: len(rows[i].text.split()) for i in kept}
+    sizes, taken, most = collections.Counter(), collections.Counter(), collections.Counter()
+    for i in kept:
+        s = rows[i].source
+        sizes[s] += size[i]
+        taken[s] += out[i] * size[i]
+        most[s] = max(most[s], size[i])
+    want = water(sizes)
+    assert all(abs(taken[s] - want[s]) <= 2 * max(most.values()) for s in sizes) and max(out.values()) <= 3
