@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import language, minhash, mixing, pieces
-from sieveline.llm.common import materialize, table
+from sieveline.llm.common import drop_tables, materialize, table
 from sieveline.llm.queries import piece_model
 
 
@@ -68,6 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written and read again."""
     docs = table(spark, sf_dir, "documents")
+    first = drop_tables(spark, keep=10**9)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(spark, first, keep=1)  # a written stage needs nothing that came before it
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,13 +34,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, first: int = 0, keep: int = 0) -> int:
+    """Delete the tables this session has written from the ``first`` on, but for the last ``keep``; call it when results that
+    read them are written.  Returns how many there are still, to be the next call's ``first``."""
+    last = max(first, len(_written) - keep)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[first:last]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _written[first:last]
+    return len(_written)
+
+
 def null_safe_hash(*cols: Column | str, seed: int = 0) -> Column:
     """64-bit hash that tells a null from a missing column: Spark's own skips nulls."""
     parts: list[Column] = [F.lit(seed)]
@@ -58,6 +75,22 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+def sums_before(blocks: DataFrame, part: list[str], order: str, amount: str, group: int = 1024) -> DataFrame:
+    """Adds ``before``, the sum of ``amount`` over blocks with a smaller whole number ``order`` in the same part.
+
+    Two levels: groups of neighbouring blocks are summed in order, blocks within their group only, so the one
+    ordered pass over a part sees 1/``group`` of its blocks.
+    """
+    b = blocks.withColumn("_group", F.floor(F.col(order) / group))
+    sums = b.groupBy(*part, "_group").agg(F.sum(amount).alias("_sum"))
+    over = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
+    before = over.orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*part, "_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = W.partitionBy(*part, "_group").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    b = b.withColumn("before", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(sums, [*part, "_group"])
+    return b.withColumn("before", F.col("before") + F.col("_base")).drop("_group", "_base")
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows with equal first ``n_keys`` integer columns, from batches in which they stand together."""
     held: list[pa.RecordBatch] = []

@@ -170,11 +170,15 @@ def next_document(docs: DataFrame, rows_per_bucket: int = 1024) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(lo - 1).cast("decimal(20,0)"))
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), bucket.alias("b"), key.alias("key"))
     firsts = docs.groupBy("b").agg(F.max("key").alias("top"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.col("b").desc())
-    whole = W.partitionBy(F.lit(0))
-    firsts = firsts.select(
-        F.col("top").alias("key"), F.coalesce(F.lag("b").over(down), F.min("b").over(whole)).alias("ghost_of")
+    # the next range above that holds a document: within groups of ranges, then between groups, then around the end
+    firsts = firsts.withColumn("g", F.floor(F.col("b") / 1024))
+    groups = firsts.groupBy("g").agg(F.min("b").alias("lowest"))
+    every = W.partitionBy(F.lit(0))
+    groups = groups.select(
+        "g", F.coalesce(F.lead("lowest").over(every.orderBy("g")), F.min("lowest").over(every)).alias("above")
     )
+    up = F.lead("b").over(W.partitionBy("g").orderBy("b"))
+    firsts = firsts.withColumn("up", up).join(groups, "g").select(F.col("top").alias("key"), F.coalesce("up", "above").alias("ghost_of"))
     firsts = materialize(firsts, "fingerprint-firsts")
     if n_buckets <= 100_000:
         firsts = F.broadcast(firsts)

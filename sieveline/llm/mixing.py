@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, null_safe_hash, word_count
+from .common import buckets_for, materialize, null_safe_hash, sums_before, word_count
 
 SEED = 20_011
 
@@ -41,12 +41,6 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weight_cycle: int = 3,
     return s.select("source", "rank", "weight", "source_size", "source_rows", "budget", target.alias("target"))
 
 
-def _offsets(blocks: DataFrame, part: list[str], order: str, amount: str) -> DataFrame:
-    w = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
-    w = w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return blocks.withColumn("before", F.coalesce(F.sum(amount).over(w), F.lit(0)))
-
-
 def mix(
     docs: DataFrame,
     size: Column | None = None,
@@ -90,7 +84,7 @@ def mix(
     bucket = F.call_function("shiftrightunsigned", F.shiftrightunsigned("h", 1), 63 - bits)
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["s_source"]), "inner").drop("s_source")
     rows = rows.withColumn("b", bucket)
-    blocks = _offsets(rows.groupBy("rank", "b").agg(F.sum("size").alias("sum")), ["rank"], "b", "sum")
+    blocks = sums_before(rows.groupBy("rank", "b").agg(F.sum("size").alias("sum")), ["rank"], "b", "sum")
     inside = W.partitionBy("rank", "b").orderBy(F.shiftrightunsigned("h", 1), "h", "doc_id", "copy_no")
     rows = rows.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     rows = rows.join(blocks.select("rank", "b", "before"), ["rank", "b"]).withColumn("upto", F.col("upto") + F.col("before"))
@@ -107,7 +101,7 @@ def mix(
     entries = rows.withColumn("e", F.explode("passes")).drop("passes")
     entries = entries.withColumn("finish", (F.col("upto") + F.col("e") * F.col("source_size")) / F.col("target"))
     entries = entries.withColumn("bin", F.least(F.floor(F.col("finish") * n_bins), F.lit(n_bins)).cast("long"))
-    bins = _offsets(entries.groupBy("bin").agg(F.sum("size").alias("sum")), [], "bin", "sum")
+    bins = sums_before(entries.groupBy("bin").agg(F.sum("size").alias("sum")), [], "bin", "sum")
     by_finish = W.partitionBy("bin").orderBy("finish", "rank", "e", "h", "doc_id", "copy_no")
     entries = entries.withColumn("sofar", F.sum("size").over(by_finish.rowsBetween(W.unboundedPreceding, W.currentRow)))
     entries = entries.join(bins.select("bin", "before"), "bin")

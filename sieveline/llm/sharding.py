@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, null_safe_hash
+from .common import buckets_for, materialize, null_safe_hash, sums_before
 
 SEED = 40_009
 
@@ -42,8 +41,7 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = SEED, rows_per_bucket:
     full = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("r"))
     mixed = full.sortWithinPartitions("bucket").select("bucket", F.shuffle("r", F.lit(seed)).alias("r"))
     sizes = records.groupBy(F.pmod("h", F.lit(n_buckets)).alias("bucket")).agg(F.count("*").alias("n"))
-    before = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = sums_before(sizes, [], "bucket", "n").select("bucket", "before")
     placed = mixed.select("bucket", F.posexplode("r").alias("i", "x")).join(sizes, "bucket")
     placed = placed.select("x.*", (F.col("before") + F.col("i")).alias("place"))
     to = F.expr(f"place * {n_shards}L div {max(total, 1)}L")
