@@ -7,9 +7,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from operator import itemgetter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -46,7 +44,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type (BPE) SentencePiece vocabulary: encode, decode, and caches of bounded size."""
 
-    def __init__(self, path: str, end_id: int = 2, cache_size: int = 700_000):
+    def __init__(self, path: str, end_id: int = 2, cache_size: int = 350_000):
         self.path, self.end_id, self.cache_size = path, end_id, cache_size
         blob = open(path, "rb").read()  # noqa: SIM115
         self.pieces: list[str] = []
@@ -159,21 +157,33 @@ class PieceModel:
 
     def agrees(self, keys: list[str], library) -> bool:
         """Whether the library gives the same ids and texts for parts; it puts a space mark before every text."""
-        own = [list(struct.unpack(f"={len(p) // 4}i", p)) for _, p, _ in map(self.cache.__getitem__, keys)]
+        if not keys:
+            return True
+        own = [list(map(int, self.cache[k].split())) for k in keys]
         asked = ["\n " if k == SPACE else k[1:].replace(SPACE, " ") if k[0] == SPACE else k for k in keys]
         theirs = library.encode(asked, num_threads=1)
         theirs = [t[2:] if k == SPACE else t[1:] if k[0] == "\n" else t for k, t in zip(keys, theirs)]
         return theirs == own and library.decode(own) == [self.decode(ids) for ids in own]
 
-    def encode_text(self, text: str) -> tuple[str, bytes, str]:
-        """A text's ids with the end id: in decimal joined by spaces, as 32-bit numbers; and the text they decode to.
+    def encode_text(self, text: str) -> tuple[str, str]:
+        """A text's ids with the end id, in decimal joined by spaces, and the text they decode to.
 
         Parts are encoded and decoded apart: no piece joins two parts, and the bytes of a character stay together.
+        A part's ids are decoded when they are made; where none of a text's parts decodes to anything but itself,
+        the text does so too.
         """
-        found = list(map(self.cache.__getitem__, self.parts(text)))
-        found.append((str(self.end_id), struct.pack("=i", self.end_id), ""))
-        back = "".join(map(itemgetter(2), found))
-        return " ".join(map(itemgetter(0), found)), b"".join(map(itemgetter(1), found)), back[1:] if back[:1] == " " else back
+        if len(self.cache.odd) > 50_000:  # never in the middle of a text
+            self.cache.clear()
+            self.cache.old, self.cache.odd = {}, {}
+        keys = self.parts(text)
+        joined = " ".join(map(self.cache.__getitem__, keys))
+        odd = self.cache.odd
+        if odd and not odd.keys().isdisjoint(keys):
+            back = "".join([odd.get(k) or _itself(k) for k in keys])
+            back = back[1:] if back[:1] == " " else back
+        else:
+            back = text.replace(SPACE, " ")
+        return (f"{joined} {self.end_id}" if joined else str(self.end_id)), back
 
     def decode_part(self, ids: list[int]) -> str:
         """Text of ids, the dummy prefix still in place."""
@@ -201,23 +211,32 @@ class PieceModel:
         return text[1:] if text[:1] == " " and not prefix else text
 
 
+def _itself(key: str) -> str:
+    """What a part says, space marks as spaces."""
+    return key.replace(SPACE, " ") if key[0] in (SPACE, "\n") else " " + key
+
+
 class _Cache(dict):
-    """part -> (ids as text, ids as 32-bit numbers, decoded text) in two generations of bounded size.
+    """part -> its ids in decimal, in two generations of bounded size; odd has the parts that decode to something else.
 
-    When the young one is full it becomes the old one; what is still used moves on.  Very long parts are not kept.
+    When the young generation is full it becomes the old one; what is still used moves on.  Very long parts are
+    not kept.
     """
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model, self.old = model, {}
+        self.odd: dict[str, str] = {}
         self.made: list[str] = []  # parts encoded since the last check
 
-    def __missing__(self, part: str) -> tuple[str, bytes, str]:
+    def __missing__(self, part: str) -> str:
         found = self.old.get(part)
         if found is None:
             ids = self.model.key_ids(part)
             self.made.append(part)
-            found = (" ".join(map(str, ids)), struct.pack(f"={len(ids)}i", *ids), self.model.decode_part(ids))
+            found = " ".join(map(str, ids))
+            if (back := self.model.decode_part(ids)) != _itself(part):
+                self.odd[part] = back
         if len(part) <= 64:
             if len(self) >= self.model.cache_size:
                 self.old = dict(self)
@@ -270,19 +289,19 @@ def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids
                 if library is not None and (check == "texts" or not model.agrees(made, library)):
                     for i, theirs in enumerate(library.encode(texts, num_threads=1)):
                         theirs.append(model.end_id)
-                        right = (" ".join(map(str, theirs)), np.array(theirs, np.int32).tobytes(), library.decode(theirs))
+                        right = (" ".join(map(str, theirs)), library.decode(theirs))
                         agrees[i] = right == rows[i]
                         rows[i] = right
                 cols = [
                     piece.column(0).cast(pa.int64()),
-                    pa.array([len(packed) // 4 for _, packed, _ in rows], pa.int64()),
-                    pa.array([sha(joined.encode()).hexdigest() for joined, _, _ in rows]),
-                    pa.array([sha(back.encode()).hexdigest() for _, _, back in rows]),
+                    pa.array([joined.count(" ") + 1 for joined, _ in rows], pa.int64()),
+                    pa.array([sha(joined.encode()).hexdigest() for joined, _ in rows]),
+                    pa.array([sha(back.encode()).hexdigest() for _, back in rows]),
                     pa.array(agrees),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
                 if ids:
-                    cols.append(pa.array([np.frombuffer(packed, np.int32) for _, packed, _ in rows], pa.list_(pa.int32())))
+                    cols.append(pa.array([list(map(int, joined.split())) for joined, _ in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
