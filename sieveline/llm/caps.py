@@ -50,6 +50,7 @@ class Plan:
         # words of few components cannot share a vector's length evenly: no structure there
         self.blocks = 1 if dim < 16 else max(2, math.ceil(math.log2(max(per_code, 2)) / 12))
         self.size = max(2, math.ceil(per_code ** (1 / self.blocks)))
+        self.cap_number = np.int32 if codes * self.size**self.blocks < 2**31 else np.int64
         self.cuts = [round(i * dim / self.blocks) for i in range(self.blocks + 1)]
 
     def books(self) -> list[list[np.ndarray]]:
@@ -90,34 +91,99 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def cap_entries(classes: DataFrame, plan: Plan) -> DataFrame:
-    """cap, vec_id, copies, vector, caps: a row for each cap that holds a vector."""
+#: Bits of a vector's signature, and how many standard deviations beyond the mean a pair at the threshold may differ in.
+SIGNATURE, SPREAD = 128, 6.0
+
+
+def _rows(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
+    return np.asarray(batch.column(column).flatten(), np.float64).reshape(-1, dim)
+
+
+def cap_members(classes: DataFrame, plan: Plan) -> DataFrame:
+    """cap, vec_id, signature: a row for each cap that holds a vector; the signature is its sides of random planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, per_code = plan.books(), plan.size**plan.blocks
+        planes = np.random.default_rng([SEED, plan.dim]).standard_normal((plan.dim, SIGNATURE))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                x = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, plan.dim)
-                u = _unit(x)
+                u = _unit(_rows(batch, 1, plan.dim))
                 products = [
                     [u[:, plan.cuts[i] : plan.cuts[i + 1]] @ book[i].T for i in range(plan.blocks)] for book in books
                 ]
-                caps, rows = [], []
-                for r in range(len(u)):
-                    mine = np.concatenate([plan.decode([p[r] for p in products[c]]) + c * per_code for c in range(plan.codes)])
-                    caps.append(np.sort(mine))
-                    rows.append(len(mine))
-                take = np.repeat(np.arange(len(u)), rows)
-                vectors = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(take))
-                lists = pa.array([c.astype(np.int64).tobytes() for c in caps], pa.binary()).take(pa.array(take))
-                cap = np.concatenate(caps).astype(np.int64) if caps else np.empty(0, np.int64)
+                caps = [
+                    np.concatenate([plan.decode([p[r] for p in products[c]]) + c * per_code for c in range(plan.codes)])
+                    for r in range(len(u))
+                ]
+                take = pa.array(np.repeat(np.arange(len(u)), [len(c) for c in caps]))
+                sides = pa.array([b.tobytes() for b in np.packbits(u @ planes > 0, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(caps).astype(np.int64)), batch.column(0).take(take), sides.take(take)],
+                    names=["cap", "vec_id", "signature"],
+                )
+
+    return classes.select("vec_id", "embedding").mapInArrow(run, "cap long, vec_id long, signature binary")
+
+
+def _in_blocks(entries: DataFrame, block: int) -> DataFrame:
+    """Entries of caps that hold more than one vector by (cap, i, j): blocks of a cap meet each other, rows of a pair together.
+
+    A cap of one block has the pair (0, 0).  own is a row's block.
+    """
+    sizes = entries.groupBy("cap").agg(F.count("*").alias("held")).where("held > 1")
+    e = entries.join(sizes, "cap").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+    e = e.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = [c for c in entries.columns if c != "cap"]
+    e = e.select("cap", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
+    return e.repartition("cap", "i", "j").sortWithinPartitions("cap", "i", "j")
+
+
+def promising(members: DataFrame, plan: Plan, block: int) -> DataFrame:
+    """vec_id, caps: for vectors that may have a link, the caps in which another one's signature is near enough.
+
+    Signatures of vectors at the threshold differ in a binomial number of bits; a pair is passed over only beyond
+    ``SPREAD`` deviations.  Only what is left needs its components sent to its caps.
+    """
+    p = math.acos(plan.cosine) / math.pi
+    most = SIGNATURE * p + SPREAD * math.sqrt(SIGNATURE * p * (1 - p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cap, i, j), t in key_runs(batches, 3):
+            side, ids = t.column(3).to_numpy(), t.column(4).to_numpy()
+            bits = np.unpackbits(np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
+            x = bits.astype(np.float32) * 2 - 1
+            near = x @ x.T >= SIGNATURE - 2 * most
+            np.fill_diagonal(near, False)
+            if i != j:
+                near &= side[:, None] != side[None, :]
+            hit = near.any(axis=1)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hit.sum(), cap), pa.int64()), pa.array(ids[hit], pa.int64())], names=["cap", "vec_id"])
+
+    found = _in_blocks(members, block).mapInArrow(run, "cap long, vec_id long")
+    return found.groupBy("vec_id").agg(F.collect_set("cap").alias("caps"))
+
+
+def cap_entries(classes: DataFrame, plan: Plan, number: type = np.float64) -> DataFrame:
+    """cap, vec_id, copies, vector, caps from (vec_id, copies, embedding, caps): a row a cap, components as ``number``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                x = _rows(batch, 2, plan.dim).astype(number)
+                caps = [np.sort(np.array(c, np.int64)) for c in batch.column(3).to_pylist()]
+                take = pa.array(np.repeat(np.arange(len(caps)), [len(c) for c in caps]))
+                vectors = pa.array([v.tobytes() for v in x], pa.binary())
+                lists = pa.array([c.astype(plan.cap_number).tobytes() for c in caps], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cap), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), vectors, lists],
+                    [pa.array(np.concatenate(caps)), batch.column(0).take(take), batch.column(1).take(take), vectors.take(take), lists.take(take)],
                     names=["cap", "vec_id", "copies", "vector", "caps"],
                 )
 
-    return classes.select("vec_id", "copies", "embedding").mapInArrow(
+    return classes.select("vec_id", "copies", "embedding", "caps").mapInArrow(
         run, "cap long, vec_id long, copies long, vector binary, caps binary"
     )
 
@@ -152,7 +218,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, p
     """vec_id, n_links, component_id, kept: a row for each row of ``vectors`` (vec_id, embedding).
 
     Equal vectors are one class with a number of copies.  Each class goes to all caps that hold it, found by
-    list decoding; vectors of a cap are compared in double precision, blocks of ``block`` with blocks, so a
+    list decoding, first as a short signature only.  Where another signature of a cap is near enough, both go there
+    with their components: vectors of a cap are compared in double precision, blocks of ``block`` with blocks, so a
     cap that holds a third of all vectors is spread over tasks and nothing is capped.  A pair that shares
     several caps counts in the smallest only, and pairs are never written: a block pair gives a count and a
     local root a vector.  Pairs below ``cosine`` are never linked; pairs at it are found with the recall that
@@ -163,6 +230,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, p
     vectors of their own.  Empty table: no rows.  Only vec_id and embedding are read.
     """
     spark = vectors.sparkSession
+    # components of single precision travel as such and are compared as doubles all the same
+    number = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     e = F.col("embedding")
     good = F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(
@@ -174,8 +243,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, p
     parts = []
     for dim, n in [tuple(r) for r in classes.groupBy(F.size("embedding").alias("dim")).count().collect()]:
         plan = Plan(n, dim, cosine, per_cap)
-        entries = cap_entries(classes.where(F.size("embedding") == dim), plan)
-        parts.append(_links(materialize(entries, "caps-entries"), dim, cosine, block))
+        own = classes.where(F.size("embedding") == dim)
+        maybe = promising(materialize(cap_members(own, plan), "caps-members"), plan, block)
+        entries = cap_entries(own.join(materialize(maybe, "caps-promising"), "vec_id"), plan, number)
+        parts.append(_links(materialize(entries, "caps-entries"), plan, number, block))
     found = spark.createDataFrame([], "vec_id long, n long, root long")
     for p in parts:
         found = found.union(p)
@@ -196,22 +267,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, p
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(entries: DataFrame, dim: int, cosine: float, block: int) -> DataFrame:
-    sizes = entries.groupBy("cap").agg(F.count("*").alias("held")).where("held > 1")
-    e = entries.join(sizes, "cap").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
-    e = e.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    e = e.select(
-        "cap", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "copies", "vector", "caps"
-    )
-    e = e.repartition("cap", "i", "j").sortWithinPartitions("cap", "i", "j")
-
+def _links(entries: DataFrame, plan: Plan, number: type, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in key_runs(batches, 3):
-            x = np.frombuffer(b"".join(t.column(6).to_pylist()), np.float64).reshape(-1, dim)
-            caps = [np.frombuffer(b, np.int64) for b in t.column(7).to_pylist()]
-            got = _compare(key, t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(3).to_numpy(), x, caps, cosine)
+            x = np.frombuffer(b"".join(t.column(6).to_pylist()), number).reshape(-1, plan.dim).astype(np.float64)
+            caps = [np.frombuffer(b, plan.cap_number) for b in t.column(7).to_pylist()]
+            got = _compare(key, t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(3).to_numpy(), x, caps, plan.cosine)
             if got is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["vec_id", "n", "root"])
 
-    return e.mapInArrow(run, "vec_id long, n long, root long")
+    return _in_blocks(entries, block).mapInArrow(run, "vec_id long, n long, root long")
