@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The hexadecimal digits that have 1, 2, 3 and 4 bits set.
-DIGITS_BY_BITS = ("1248", "3569AC", "7BDE", "F")
-
-
 def text_bytes(text: Column, bit_depth: int = 0) -> Column:
     """Bytes of a text: depth 8 is ASCII with "?" for each other code point, any other depth UTF-8."""
     if bit_depth == 8:
@@ -17,13 +13,15 @@ def text_bytes(text: Column, bit_depth: int = 0) -> Column:
 
 
 def count_ones(data: Column) -> Column:
-    """Set bits of a binary column, counted on its hexadecimal digits: no row a bit."""
-    digits = F.hex(data)
-    all_ = "0123456789ABCDEF"
-    parts = [
-        F.length(F.translate(digits, "".join(d for d in all_ if d not in keep), "")) * (i + 1) for i, keep in enumerate(DIGITS_BY_BITS)
-    ]
-    return sum(parts[1:], parts[0]).cast("long")
+    """Set bits of a binary column, seven bytes at a time as one number: no row a bit."""
+
+    def counted(d: Column) -> Column:
+        starts = F.when(F.octet_length(d) > 0, F.sequence(F.lit(1), F.octet_length(d), F.lit(7))).otherwise(F.array().cast("array<int>"))
+        seven = lambda at: F.bit_count(F.conv(F.hex(F.substring(d, at, F.lit(7))), 16, 10).cast("long"))
+        return F.when(d.isNotNull(), F.aggregate(starts, F.lit(0).cast("long"), lambda n, at: n + seven(at)))
+
+    # a one-element array binds the bytes, which the inner function would otherwise make again for every step
+    return F.transform(F.array(data), counted)[0]
 
 
 def binary_density(df: DataFrame, stream_id: str, data: Column) -> DataFrame:

@@ -204,7 +204,8 @@ def text_roundtrip(spark, sf_dir):
     n, ones = F.octet_length("data") * 8, bits.count_ones(F.col("data"))
     worth = F.coalesce((n > 0) & (ones / n > LEAST_DENSITY) & (ones / n < DENSITY_THRESHOLD), F.lit(False))
     docs = docs.withColumn("worth", worth)
-    coded = codec.compress(bits.binary_to_bits(docs.where("worth"), "doc_id", F.col("data")))
+    few = docs.where("worth").select("doc_id", "data").persist()  # about one text in a hundred; read by every step of the codec
+    coded = codec.compress(bits.binary_to_bits(few, "doc_id", F.col("data")), plan_=codec.plan(bits.binary_density(few, "doc_id", F.col("data"))))
     back = bits.bits_to_binary(codec.decompress(coded)).select(F.col("stream_id").cast("long").alias("doc_id"), bits.binary_to_text(F.col("data")).alias("text"))
     return docs.where("not worth").select("doc_id", bits.binary_to_text(F.col("data")).alias("text")).unionByName(back)
 
