@@ -92,7 +92,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 #: Bits of a vector's signature, and how many standard deviations beyond the mean a pair at the threshold may differ in.
-SIGNATURE, SPREAD = 128, 6.0
+SIGNATURE, SPREAD = 256, 6.0
 
 
 def _rows(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
@@ -127,12 +127,16 @@ def cap_members(classes: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _in_blocks(entries: DataFrame, block: int) -> DataFrame:
-    """Entries of caps that hold more than one vector by (cap, i, j): blocks of a cap meet each other, rows of a pair together.
+    """Entries by (cap, i, j): blocks of a cap meet each other, rows of a pair of blocks stand together.
 
-    A cap of one block has the pair (0, 0).  own is a row's block.
+    A cap of one block has the pair (0, 0).  own is a row's block.  Only caps of several blocks need their size:
+    where these are at most 200,000 (5 MB) they are broadcast, otherwise entries are shuffled to meet them.
     """
-    sizes = entries.groupBy("cap").agg(F.count("*").alias("held")).where("held > 1")
-    e = entries.join(sizes, "cap").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+    sizes = entries.groupBy("cap").agg(F.count("*").alias("held")).where(F.col("held") > block)
+    large = materialize(sizes.select("cap", F.ceil(F.col("held") / block).cast("int").alias("blocks")), "caps-large")
+    if large.count() <= 200_000:
+        large = F.broadcast(large)
+    e = entries.join(large, "cap", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     e = e.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = [c for c in entries.columns if c != "cap"]
