@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,39 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+_releases: dict[str, Callable[[], None]] = {}
+
+
+def in_worker(run: Callable, name: str, release: Callable[[], None] | None = None) -> Callable:
+    """A function for ``mapInArrow`` that keeps its Python worker small.
+
+    Caches that other operators left in the worker are dropped when it starts; ``release`` empties the operator's
+    own ones, which otherwise serve its next task there.  Free memory goes back to the system at the end.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(name, release)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def take_over(name: str, release: Callable[[], None] | None) -> None:
+    for other in [n for n in _releases if n != name]:
+        _releases.pop(other)()
+    if release is not None:
+        _releases[name] = release
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sums_before(blocks: DataFrame, part: list[str], order: str, amount: str, group: int = 1024) -> DataFrame:
     """Adds ``before``, the sum of ``amount`` over blocks with a smaller whole number ``order`` in the same part.
 

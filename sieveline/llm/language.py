@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_worker, materialize
 
 BUCKETS = 1 << 14
 #: Expected number of labelled rows that the text model is fitted on, and the most languages it has.
@@ -71,7 +71,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
         for lang, c in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * BUCKETS), pa.array(np.arange(BUCKETS), pa.int32()), pa.array(c)], names=["declared", "bucket", "n"])
 
-    parts = sample.select("declared", "text").mapInArrow(run, "declared string, bucket int, n long").where("n > 0")
+    parts = sample.select("declared", "text").mapInArrow(in_worker(run, "language"), "declared string, bucket int, n long").where("n > 0")
     found = parts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
     c = np.zeros((BUCKETS, len(languages)))
     at = {lang: i for i, lang in enumerate(languages)}
@@ -92,7 +92,7 @@ def with_text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ll, pa.list_(pa.float64()))], names=["id", "text_hash", "declared", "suffix", "host", "ll"])
 
     cols = rows.select("id", F.xxhash64("text").alias("text_hash"), "declared", "suffix", "host", "text")
-    return cols.mapInArrow(run, "id long, text_hash long, declared string, suffix string, host string, ll array<double>")
+    return cols.mapInArrow(in_worker(run, "language"), "id long, text_hash long, declared string, suffix string, host string, ll array<double>")
 
 
 def identify(rows: DataFrame, model: TextModel | None = None, least: float = LEAST) -> DataFrame:

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, key_runs, local_roots, materialize
+from .common import connected_components, in_worker, key_runs, local_roots, materialize
 
-WORD_CACHE = 300_000
+WORD_CACHE = 1 << 16
 _words: dict[bytes, int] = {}
 
 
@@ -25,6 +25,11 @@ def _word_hash(word: bytes) -> int:
     return h
 
 
+def release() -> None:
+    """Drops this worker's word hashes; called by name, so that the worker's own ones go."""
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -53,30 +58,30 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """doc_id, n_shingles, g1, g2, sketch: the k smallest hashes, and two hashes of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, g1, g2, values, ends = [], [], [], [], [0]
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), width)
-                raw = s.tobytes()
-                n.append(len(s))
-                g1.append(xxhash.xxh3_64_intdigest(raw, 1) - 2**63)
-                g2.append(xxhash.xxh3_64_intdigest(raw, 2) - 2**63)
-                values.append(s[:k].view(np.int64))
-                ends.append(ends[-1] + min(k, len(s)))
-            flat = np.concatenate(values) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array(g1, pa.int64()),
-                    pa.array(g2, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                ],
-                names=["doc_id", "n_shingles", "g1", "g2", "sketch"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, g1 long, g2 long, sketch array<long>"
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):  # bounds the sets in memory
+                batch = whole.slice(at, 1024)
+                n, g1, g2, values, ends = [], [], [], [], [0]
+                for text in batch.column(1):
+                    s = shingle_set(text.as_py(), width)
+                    raw = memoryview(s).cast("B") if len(s) else b""
+                    n.append(len(s))
+                    g1.append(xxhash.xxh3_64_intdigest(raw, 1) - 2**63)
+                    g2.append(xxhash.xxh3_64_intdigest(raw, 2) - 2**63)
+                    values.append(s[:k].view(np.int64).copy())  # a copy, or the whole set would stay
+                    ends.append(ends[-1] + min(k, len(s)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).cast(pa.int64()),
+                        pa.array(n, pa.int64()),
+                        pa.array(g1, pa.int64()),
+                        pa.array(g2, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values))),
+                    ],
+                    names=["doc_id", "n_shingles", "g1", "g2", "sketch"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run, "minhash", release), "doc_id long, n_shingles long, g1 long, g2 long, sketch array<long>"
     )
 
 
@@ -84,16 +89,17 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, shingles of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "shingles"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # bounds the sets in memory
+                batch = whole.slice(at, 256)
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
+                    names=["doc_id", "shingles"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run, "minhash", release), "doc_id long, shingles array<long>")
 
 
 def inverted_lists(reps: DataFrame, threshold: float, slack: float, k: int) -> DataFrame:
@@ -210,7 +216,7 @@ def compared_in_blocks(
                 roots = local_roots(near[hit][:, hit], ids[hit])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
-    return m.mapInArrow(run, "a long, b long").where("a <> b")
+    return m.mapInArrow(in_worker(run, "minhash", release), "a long, b long").where("a <> b")
 
 
 def near_duplicates(

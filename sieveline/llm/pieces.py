@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_worker
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model file
 
@@ -248,16 +250,21 @@ class _Cache(dict):
 _models: dict[str, PieceModel] = {}
 
 
-def _model(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
+def _model(path: str, cache_size: int) -> PieceModel:
+    if path not in _models or _models[path].cache_size != cache_size:
+        _models[path] = PieceModel(path, cache_size=cache_size)
     return _models[path]
 
 
+def release() -> None:
+    """Drops this worker's models and caches; called by name, so that the worker's own ones go."""
+    _models.clear()
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids: bool = False, cache_size: int = 350_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees (and ids where asked): a row a document.
 
     Every text is encoded by the agenda, with an end id only, and decoded from those ids.  The sentencepiece
@@ -265,7 +272,7 @@ def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids
     encoded for it, with "texts" those of every whole text, with "" nothing.  Where they differ the batch's
     rows have the library's ids and text, and ``agrees`` is false where those differ from ours.
     ``model_path`` must exist on every worker.  Memory: a batch, the longest text's symbols, and a cache of
-    bounded size.
+    bounded size (two generations of ``cache_size`` parts, about 220 bytes each).
 
     Null text is empty: the end id alone, decoded to an empty text.  Null ids and repeated rows stay as they
     are.  Empty table: no rows.  Only doc_id and text are read.
@@ -273,7 +280,7 @@ def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids
     schema = SCHEMA + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, library = _model(model_path), None
+        model, library = _model(model_path, cache_size), None
         if check:
             import sentencepiece
 
@@ -305,4 +312,4 @@ def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run, "pieces", release), schema)
