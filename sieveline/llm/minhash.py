@@ -123,16 +123,18 @@ def inverted_lists(reps: DataFrame, threshold: float, slack: float, k: int) -> D
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, slack: float, k: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch leaves a similarity of ``threshold`` possible."""
+    """Pairs (a, b) whose union sketch leaves a similarity of ``threshold`` possible; exact if both sketches are whole sets."""
     sk = reps.select("doc_id", "sketch", F.col("n_shingles").alias("n"))
     p = pairs.join(sk.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
     p = p.join(sk.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
     # hashes are ordered as unsigned numbers: flip the sign for Spark's order
     flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))
-    union = F.slice(F.array_sort(F.array_union(flip(F.col("sa")), flip(F.col("sb")))), 1, k)
+    whole = F.greatest("na", "nb") <= k
+    union = F.array_sort(F.array_union(flip(F.col("sa")), flip(F.col("sb"))))
+    union = F.when(whole, union).otherwise(F.slice(union, 1, k))  # of whole sets, the whole union
     both = F.array_intersect(F.array_intersect(flip(F.col("sa")), flip(F.col("sb"))), F.col("u"))
     p = p.withColumn("u", union)
-    part = F.when(F.greatest("na", "nb") <= k, F.lit(threshold)).otherwise(F.lit(threshold - slack))
+    part = F.when(whole, F.lit(threshold)).otherwise(F.lit(threshold - slack))
     return p.where(F.size(both) >= F.size("u") * part - 1e-9).select("a", "b")
 
 

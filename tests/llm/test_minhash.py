@@ -83,3 +83,17 @@ def test_ids_beyond_the_broadcast_bound(spark):
     pairs = spark.createDataFrame([(0, 3), (0, 1), (1, 4)], "a long, b long")
     got = {tuple(r) for r in minhash.verified(pairs, docs, 3, 85, 100, broadcast_ids=0).collect()}
     assert got == {(0, 3), (1, 4)}
+
+
+@pytest.mark.parametrize("width, num", [(3, 85), (5, 80)])
+def test_sets_as_large_as_a_sketch_at_the_threshold(spark, width, num):
+    rows = []
+    for n in range(55, 66):
+        lost = max(m for m in range(n) if 100 * (n - m) >= num * (n + m))
+        for _ in range(8):
+            words = random.sample(WORDS, n + width - 1)  # n shingles, of which the other text lacks ``lost``
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: len(words) - lost] + [f"x{i}" for i in range(lost)]))]
+    want = components(rows, width, num, 100)
+    assert len({c for _, c in want.values()}) == len(rows) // 2
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
