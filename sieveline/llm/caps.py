@@ -46,6 +46,8 @@ class Plan:
         both = float(((other >= self.least) @ q) @ p[inside] / p[inside].sum())
         both = min(max(both, 0.05), 0.999)
         self.caps = math.ceil(spare * math.log(miss) / math.log(1 - both))
+        # vectors of fewer caps are compared with all others
+        self.few = max(1, self.caps // 6)
         per_code = self.caps / share / codes
         # words of few components cannot share a vector's length evenly: no structure there
         self.blocks = 1 if dim < 16 else max(2, math.ceil(math.log2(max(per_code, 2)) / 12))
@@ -65,6 +67,11 @@ class Plan:
             out.append(book)
         return out
 
+    def rotation(self) -> np.ndarray:
+        """A random rotation from a fixed seed: after it, length is shared among the blocks alike for any kind of vectors."""
+        q, r = np.linalg.qr(np.random.default_rng([SEED, self.dim, 1]).standard_normal((self.dim, self.dim)))
+        return q * np.where(np.diag(r) < 0, -1.0, 1.0)
+
     def decode(self, products: list[np.ndarray]) -> np.ndarray:
         """Indexes of all code words whose inner product with a vector exceeds the cap, from its block products.
 
@@ -100,15 +107,18 @@ def _rows(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
 
 
 def cap_members(classes: DataFrame, plan: Plan) -> DataFrame:
-    """cap, vec_id, signature: a row for each cap that holds a vector; the signature is its sides of random planes."""
+    """cap, vec_id, signature: a row for each cap that holds a vector; the signature is its sides of random planes.
+
+    A vector of fewer than ``plan.few`` caps has one row, its cap is -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, per_code = plan.books(), plan.size**plan.blocks
+        books, per_code, turn = plan.books(), plan.size**plan.blocks, plan.rotation()
         planes = np.random.default_rng([SEED, plan.dim]).standard_normal((plan.dim, SIGNATURE))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                u = _unit(_rows(batch, 1, plan.dim))
+                u = _unit(_rows(batch, 1, plan.dim)) @ turn
                 products = [
                     [u[:, plan.cuts[i] : plan.cuts[i + 1]] @ book[i].T for i in range(plan.blocks)] for book in books
                 ]
@@ -116,6 +126,7 @@ def cap_members(classes: DataFrame, plan: Plan) -> DataFrame:
                     np.concatenate([plan.decode([p[r] for p in products[c]]) + c * per_code for c in range(plan.codes)])
                     for r in range(len(u))
                 ]
+                caps = [c if len(c) >= plan.few else np.array([-1]) for c in caps]
                 take = pa.array(np.repeat(np.arange(len(u)), [len(c) for c in caps]))
                 sides = pa.array([b.tobytes() for b in np.packbits(u @ planes > 0, axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -192,6 +203,51 @@ def cap_entries(classes: DataFrame, plan: Plan, number: type = np.float64) -> Da
     )
 
 
+def lone_links(lone: DataFrame, classes: DataFrame, plan: Plan, chunk: int = 16_384) -> DataFrame:
+    """vec_id, n, root: links of vectors of few caps (vec_id, copies, embedding; written) with all of ``classes``, exactly.
+
+    ``chunk`` of them at a time go to the workers.  Two lone vectors meet twice; each counts the other once.
+    """
+    spark = classes.sparkSession
+    out = spark.createDataFrame([], "vec_id long, n long, root long")
+    n = lone.count()
+    chunks = -(-n // chunk)
+    part = lone.withColumn("chunk", F.pmod(F.xxhash64("embedding"), F.lit(max(chunks, 1))))
+    for k in range(chunks):
+        t = part.where(F.col("chunk") == k).select("vec_id", "copies", "embedding").toArrow()
+        rows = np.asarray(t.column(2).combine_chunks().flatten(), np.float64).reshape(-1, plan.dim)
+        sent = spark.sparkContext.broadcast((t.column(0).to_numpy(), t.column(1).to_numpy(), rows))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            lone_ids, lone_copies, lone_rows = sent.value
+            lone_units = _unit(lone_rows) if len(lone_rows) else lone_rows
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    x, ids = _rows(batch, 2, plan.dim), batch.column(0).to_numpy()
+                    copies, is_lone, u = batch.column(1).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), _unit(x)
+                    for a in range(0, len(lone_ids), 512):
+                        near = u @ lone_units[a : a + 512].T >= plan.cosine
+                        own_ids, own_copies = lone_ids[a : a + 512], lone_copies[a : a + 512]
+                        for i, j in np.argwhere(near & (ids[:, None] == own_ids[None, :])):
+                            near[i, j] = not np.array_equal(x[i], lone_rows[a + j])
+                        r, c = near.any(axis=1), near.any(axis=0)
+                        if not r.any():
+                            continue
+                        both = near[r][:, c].astype(np.int64)
+                        links = np.concatenate([both @ own_copies[c], both.T @ np.where(is_lone[r], 0, copies[r])])
+                        square = np.zeros((sum(both.shape),) * 2, bool)
+                        square[: len(both), len(both) :] = both
+                        square |= square.T
+                        members = np.concatenate([ids[r], own_ids[c]])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(v, pa.int64()) for v in (members, links, local_roots(square, members))], names=["vec_id", "n", "root"]
+                        )
+
+        out = out.union(classes.select("vec_id", "copies", "embedding", "lone").mapInArrow(run, "vec_id long, n long, root long"))
+    return out
+
+
 def _compare(key: tuple, ids, copies, side, x, caps, cosine: float):
     """Link counts and local roots of one block pair of a cap: a pair counts in its smallest shared cap only."""
     cap, i, j = key
@@ -226,7 +282,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, p
     with their components: vectors of a cap are compared in double precision, blocks of ``block`` with blocks, so a
     cap that holds a third of all vectors is spread over tasks and nothing is capped.  A pair that shares
     several caps counts in the smallest only, and pairs are never written: a block pair gives a count and a
-    local root a vector.  Pairs below ``cosine`` are never linked; pairs at it are found with the recall that
+    local root a vector.  Vectors are rotated at random first, so that their kind (padded, sparse, of few directions)
+    does not matter; one that falls in too few caps all the same is compared with all (``lone_links``).  Pairs below ``cosine`` are never linked; pairs at it are found with the recall that
     ``Plan`` states, higher ones surely.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.  Vectors of
@@ -248,7 +305,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 512, p
     for dim, n in [tuple(r) for r in classes.groupBy(F.size("embedding").alias("dim")).count().collect()]:
         plan = Plan(n, dim, cosine, per_cap)
         own = classes.where(F.size("embedding") == dim)
-        maybe = promising(materialize(cap_members(own, plan), "caps-members"), plan, block)
+        members = materialize(cap_members(own, plan), "caps-members")
+        lone = members.where("cap < 0").select("vec_id").distinct().withColumn("lone", F.lit(True))
+        lone = materialize(own.join(lone, "vec_id", "left").withColumn("lone", F.coalesce("lone", F.lit(False))), "caps-lone")
+        parts.append(lone_links(lone.where("lone"), lone, plan))
+        maybe = promising(members.where("cap >= 0"), plan, block)
         entries = cap_entries(own.join(materialize(maybe, "caps-promising"), "vec_id"), plan, number)
         parts.append(_links(materialize(entries, "caps-entries"), plan, number, block))
     found = spark.createDataFrame([], "vec_id long, n long, root long")

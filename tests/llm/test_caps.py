@@ -74,3 +74,35 @@ def test_decoding_finds_all_caps():
             total = (total[:, None] + p[None, :]).ravel()
         want = np.flatnonzero(total / np.sqrt(plan.blocks) >= plan.least)
         assert sorted(plan.decode(products)) == want.tolist()
+
+
+def partners(kind, n):
+    """Pairs at cosine 0.901 of vectors of a kind."""
+    rows, other = RNG.standard_normal((n, 64)), RNG.standard_normal((n, 64))
+    weight = {"padded": np.arange(64) < 32, "decaying": np.exp(-np.arange(64) / 6), "sparse": RNG.random((n, 64)).argsort(axis=1) < 4}[kind]
+    a, other = unit(rows * weight), other * weight
+    other = unit(other - (other * a).sum(axis=1, keepdims=True) * a)
+    return np.concatenate([a, a * 0.901 + other * np.sqrt(1 - 0.901**2)]).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["padded", "decaying", "sparse"])
+def test_recall_whatever_the_kind(spark, kind):
+    v = partners(kind, 400)
+    got = caps.near_duplicates(table(spark, list(enumerate(v.tolist())))).collect()
+    want = brute(list(range(len(v))), v, 0.9)
+    found, all_ = sum(r.n_links for r in got), sum(w[0] for w in want.values())
+    assert 0.99 * all_ <= found <= all_
+
+
+def test_vectors_of_few_caps_are_compared_with_all(spark, monkeypatch):
+    v = np.concatenate([partners("padded", 60), unit(unit(RNG.standard_normal((1, 64))) + 0.02 * RNG.standard_normal((50, 64)))]).astype(np.float32)
+    v = np.concatenate([v, v[:9]])
+    few = caps.Plan.__init__
+
+    def many(self, *args, **options):
+        few(self, *args, **options)
+        self.few = 30  # about half of all
+
+    monkeypatch.setattr(caps.Plan, "__init__", many)
+    got = caps.near_duplicates(table(spark, list(enumerate(v.tolist())))).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(list(range(len(v))), v, 0.9)
