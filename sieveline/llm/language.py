@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import in_worker, materialize
 
 BUCKETS = 1 << 14
-#: Expected number of labelled rows that the text model is fitted on, and the most languages it has.
-FIT_ROWS, LANGUAGES = 20_000, 32
+#: Expected number of labelled rows that the text model is fitted on, at least so many of each language as there are, and
+#: how many labelled rows make a language (fewer do if they are one in a thousand).
+FIT_ROWS, FIT_EACH, LEAST_ROWS = 20_000, 500, 20
 #: How much of a text's log likelihood counts: neighbouring trigrams are far from independent.
 TEMPER = 0.15
 #: Rows that a parent's opinion counts for, against rows seen: suffix under all, host under suffix.
@@ -47,19 +49,22 @@ class TextModel:
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
-    """Trigram frequencies of each language from about ``fit_rows`` labelled rows (text, declared), chosen by hash.
+    """Trigram frequencies of each language from labelled rows (text, declared), chosen by hash.
 
+    Every label of at least ``LEAST_ROWS`` rows, or of one row in a thousand, is a language.  About ``fit_rows`` rows are
+    taken in proportion, and more of the languages that get fewer than their equal part, or than ``FIT_EACH``.
     Whole texts are counted on the executors; the driver gets one vector of fixed size a language.
     """
     labelled = rows.where("declared is not null and text is not null")
-    counts = labelled.groupBy("declared").count().orderBy(F.col("count").desc(), "declared").limit(LANGUAGES).collect()
-    # what is declared once in a thousand rows at least is a language
-    total = sum(r["count"] for r in counts)
-    languages = sorted(r["declared"] for r in counts if r["count"] * 1000 >= total)
-    share = min(1.0, fit_rows / max(total, 1))
-    sample = labelled.where(F.col("declared").isin(languages))
-    if share < 1:
-        sample = sample.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    per_label = materialize(labelled.groupBy("declared").agg(F.count("*").alias("n")), "language-labels")
+    total = per_label.agg(F.sum("n")).first()[0] or 0
+    counts = per_label.where((F.col("n") >= LEAST_ROWS) | (F.col("n") * 1000 >= total)).collect()
+    languages = sorted(r["declared"] for r in counts)
+    each = max(FIT_EACH, fit_rows / max(len(languages), 1))
+    shares = [(r["declared"], math.ceil(1_000_000 * min(1.0, max(fit_rows / total, each / r["n"])))) for r in counts]
+    shares = rows.sparkSession.createDataFrame(shares, "declared string, share int")
+    chosen = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < F.col("share")
+    sample = labelled.join(F.broadcast(shares), "declared").where(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -105,6 +110,10 @@ def identify(rows: DataFrame, model: TextModel | None = None, least: float = LEA
     language is null where "no known language" wins, the best one's posterior is under ``least``, or there
     is no text; such documents are not kept.
 
+    A text whose declaration is a label too rare to fit cannot be judged by the model: its declaration is trusted, and it
+    is kept.  So is one without a declaration if over half of its host's declarations are one such label.  Their
+    confidence is null.
+
     No labelled row to fit on: nothing is known, no document is kept.  Null declared, suffix or host: no evidence of that kind.  Null ids and repeated rows are rows like others.
     Empty table: no rows.
     """
@@ -155,7 +164,15 @@ def identify(rows: DataFrame, model: TextModel | None = None, least: float = LEA
         "confidence", F.when(F.col("ll").isNotNull(), 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     )
     name = F.element_at(F.array(*[F.lit(x) for x in langs], F.lit(None).cast("string")), F.col("at"))
-    language = F.when(F.col("ll").isNotNull() & (F.col("confidence") >= least), name)
+    # labels without a model: what is declared, or what most of the host declares
+    rare = F.col("declared").isNotNull() & ~F.col("declared").isin(langs)
+    per_host = light.where("host is not null and declared is not null").groupBy("host", "declared").agg(F.count("*").alias("n"))
+    per_host = per_host.groupBy("host").agg(F.max(F.struct("n", "declared")).alias("most"), F.sum("n").alias("all"))
+    per_host = per_host.where((F.col("most.n") * 2 > F.col("all")) & ~F.col("most.declared").isin(langs))
+    d = d.join(per_host.select("host", F.col("most.declared").alias("of_host")), "host", "left")
+    trusted = F.when(F.col("ll").isNotNull(), F.when(rare, F.col("declared")).when(F.col("declared").isNull(), F.col("of_host")))
+    d = d.withColumn("trusted", trusted).withColumn("confidence", F.when(F.col("trusted").isNull(), F.col("confidence")))
+    language = F.coalesce("trusted", F.when(F.col("ll").isNotNull() & (F.col("confidence") >= least), name))
     return d.select("id", "text_hash", "declared", language.alias("language"), "confidence", language.isNotNull().alias("kept"))
 
 

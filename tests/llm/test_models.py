@@ -207,3 +207,17 @@ def test_pages(spark):
     r = language.of_pages(spark.createDataFrame([(1, "https://www.a.example.org/x", html), (2, None, None)], "page_id long, url string, html string")).collect()
     assert (r[0].declared, r[0].suffix, r[0].host) == ("de", "org", "www.a.example.org") and "the" not in r[0].text and "der hund" in r[0].text
     assert (r[1].declared, r[1].suffix, r[1].host, r[1].text) == (None, None, None, None)
+
+
+def test_every_declared_language_counts(spark):
+    tongue = lambda k: [chr(97 + k % 26) + chr(97 + k // 26) + c * 2 for c in "aeioursl"]
+    say = lambda k: " ".join(random.choices(tongue(k), k=25))
+    rows = [(i, say(i % 40), f"l{i % 40}", None, "mixed") for i in range(1600)] + [(2000 + i, say(40), "small", None, "mixed") for i in range(25)]
+    rare = [(3000, say(41), "rare", None, "h-rare"), (3001, say(41), "rare", None, "mixed"), (3002, say(41), None, None, "h-rare"), (3003, "", "rare", None, "h-rare")]
+    schema = "id long, text string, declared string, suffix string, host string"
+    given = spark.createDataFrame(rows + rare, schema)
+    many = spark.range(28_000).selectExpr("id + 10000", "repeat('often said words ', 4)", "'often'", "null", "'mixed'").toDF("id", "text", "declared", "suffix", "host")
+    assert set(language.fit(given.union(many)).languages) == {"often", "small", *(f"l{k}" for k in range(40))}
+    got = {r.id: r for r in language.identify(given.union(many)).where("id < 10000").collect()}
+    assert sum(got[r[0]].language == r[2] for r in rows) >= 0.99 * len(rows)
+    assert [got[i].language for i in (3000, 3001, 3002, 3003)] == ["rare", "rare", "rare", None] and got[3001].kept and not got[3003].kept
