@@ -264,7 +264,7 @@ def release() -> None:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, check: str = "parts", ids: bool = False, cache_size: int = 350_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, check: str = "texts", ids: bool = False, cache_size: int = 350_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees (and ids where asked): a row a document.
 
     Every text is encoded by the agenda, with an end id only, and decoded from those ids.  The sentencepiece

@@ -154,6 +154,12 @@ def test_the_library_wins_where_it_differs(spark, both, monkeypatch):
     assert not model.agrees(["abc"], type("Odd", (), {"encode": lambda s, t, num_threads: [[5]] * len(t), "decode": lambda s, x: [""] * len(x)})())
 
 
+def test_whole_texts_are_checked_by_default():
+    import inspect
+
+    assert inspect.signature(pieces.encode_documents).parameters["check"].default == "texts"
+
+
 # --- language ---------------------------------------------------------------------------------------------
 
 TEXTS = {"en": "the quick brown fox and the lazy dog went with that other one to", "de": "der schnelle braune fuchs und die faulen hunde gingen mit nach dem", "fr": "le renard brun et les chiens paresseux sont allés avec des autres à"}
