@@ -21,7 +21,7 @@ VOCABULARY, PER_CLASS, STATE = 2048, 64, 16
 DICTIONARY = 1 << 18
 #: Kinds of all other words: 29 first letters times whether the last one is a letter or digit.
 KINDS = 58
-SHARE, ROUNDS = 16, 2
+SHARE = 16
 
 
 def words(text: str | None) -> list[bytes]:
@@ -354,16 +354,16 @@ def _groups(docs: Iterator[tuple], tokens: int = 400_000) -> Iterator[list[tuple
         yield held
 
 
-def train(docs: DataFrame, corpus: Corpus, share: int = SHARE, rounds: int = ROUNDS, rate: float = 0.02) -> Network:
+def train(docs: DataFrame, corpus: Corpus, share: int = SHARE, rounds: int | None = None, rate: float = 0.02) -> Network:
     """Rounds of local training and averaging.
 
     In round i the tasks train copies of the network on the learned documents whose id hash leaves i when
-    divided by ``share`` (a fixed part of the corpus, which grows with it); the copies are averaged by tokens
-    in two grouped steps on the executors, so the driver gets one network.
+    divided by ``share``; ``share`` rounds, unless told otherwise, so each of them is learned from once.  The copies are
+    averaged by tokens in two grouped steps on the executors, so the driver gets one network.
     """
     net = Network.start(corpus)
     spark = docs.sparkSession
-    for i in range(rounds):
+    for i in range(share if rounds is None else rounds):
         blob = spark.sparkContext.broadcast((net.pack(), corpus))
 
         def run(batches: Iterator[pa.RecordBatch], blob=blob) -> Iterator[pa.RecordBatch]:
@@ -419,7 +419,7 @@ def _ids(ws: list[bytes], slots: _Slots, symbols: np.ndarray, end: int):
     return ids, places
 
 
-def score(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, share: int = SHARE, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``docs``.
 
     Counts cover every learned document.  The network predicts the next symbol: one of the most frequent words

@@ -102,6 +102,14 @@ def test_scores(spark):
     assert gain / tokens > 0.05
 
 
+def test_every_learned_document_trains_the_network(spark):
+    ids = spark.range(400).selectExpr("id", "pmod(xxhash64(id, 5), 16) AS part").collect()
+    start = gru.Network.start(tiny())
+    for part in (2, 9, 15):
+        docs = spark.createDataFrame([(r.id, "red sun over hill " * 20) for r in ids if r.part == part], "doc_id long, text string").coalesce(1)
+        assert (gru.train(docs, tiny()).p["u"] != start.p["u"]).any()
+
+
 def test_nothing_to_learn_from(spark):
     schema = "doc_id long, text string"
     assert gru.score(spark.createDataFrame([], schema)).count() == 0
