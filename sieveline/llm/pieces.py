@@ -7,8 +7,11 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import in_worker
@@ -73,15 +76,33 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] == NORMAL}
         self.cost = {p: -self.scores[i] for p, i in self.ids.items()}.get
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
-        self.last_special = max(i for i, t in enumerate(self.types) if t != NORMAL)
+        self._tables()
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.unk = self.types.index(UNKNOWN)
+        alone = {NORMAL: lambda i: self.pieces[i].replace(SPACE, " "), UNKNOWN: lambda i: " ⁇ ", BYTE: lambda i: chr(self.byte_of[i]) if self.byte_of[i] < 128 else None}
+        self.said = [alone.get(t, lambda i: "")(i) for i, t in enumerate(self.types)]
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
         # a text falls into parts that no piece can join: before each run of space marks, around line feeds
         self.part = None if inner or lines else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.cache = _Cache(self)
 
+    def _tables(self) -> None:
+        """Symbols are numbered (0: none, 1: a character of no piece): single characters and all pieces, and what two join to."""
+        names = {c: None for p in self.ids for c in p} | dict.fromkeys(self.ids)
+        number = {name: i + 2 for i, name in enumerate(names)}
+        self.symbol_id = np.array([-1, -1, *[self.ids.get(n, -1) for n in names]], np.int32)
+        cost = [-self.scores[self.ids[n]] if n in self.ids else np.inf for n in names]
+        self.symbol_cost = np.array([np.inf, np.inf, *cost], np.float32)  # the model file's own precision
+        self.symbol_of_point = np.ones(0x110000, np.int32)
+        for n, i in number.items():
+            if len(n) == 1:
+                self.symbol_of_point[ord(n)] = i
+        self.pairs = _Pairs({
+            (number[p[:i]], number[p[i:]]): number[p]
+            for p in self.ids for i in range(1, len(p)) if p[:i] in number and p[i:] in number
+        })
+
     def merge(self, part: str) -> list[str]:
         """Pieces of ``part``: of all adjacent pairs that form a piece, the best score (then the leftmost) joins first."""
         symbols = list(part)
@@ -150,50 +171,73 @@ class PieceModel:
             out += found
         return out
 
-    def key_ids(self, key: str) -> list[int]:
-        if key[0] == SPACE:
-            return self.part_ids(key)
-        if key[0] != "\n":
-            return self.part_ids(SPACE + key)
-        return self.part_ids("\n") + (self.part_ids(key[1:]) if len(key) > 1 else [])
-
-    def agrees(self, keys: list[str], library) -> bool:
-        """Whether the library gives the same ids and texts for parts; it puts a space mark before every text."""
-        if not keys:
-            return True
-        own = [list(map(int, self.cache[k].split())) for k in keys]
-        asked = ["\n " if k == SPACE else k[1:].replace(SPACE, " ") if k[0] == SPACE else k for k in keys]
-        theirs = library.encode(asked, num_threads=1)
-        theirs = [t[2:] if k == SPACE else t[1:] if k[0] == "\n" else t for k, t in zip(keys, theirs)]
-        return theirs == own and library.decode(own) == [self.decode(ids) for ids in own]
-
-    def encode_text(self, text: str) -> tuple[str, str]:
-        """A text's ids with the end id, in decimal joined by spaces, and the text they decode to.
-
-        Parts are encoded and decoded apart: no piece joins two parts, and the bytes of a character stay together.
-        A part's ids are decoded when they are made; where none of a text's parts decodes to anything but itself,
-        the text does so too.
+    def agenda_rows(self, parts: list[str]) -> list[bytes | None]:
+        """Ids (as bytes of int32) of many short parts at once, each with an agenda of its own: a row of its adjacent pairs' scores.
+
+        In a round every part joins its best pair (the leftmost of equals), the row closes up, and the two new
+        pairs are looked up; a part is done when none of its pairs forms a piece.  None: a character that is
+        no piece by itself is left, ``part_ids`` spells it in bytes.
         """
-        if len(self.cache.odd) > 50_000:  # never in the middle of a text
-            self.cache.clear()
-            self.cache.old, self.cache.odd = {}, {}
-        keys = self.parts(text)
-        joined = " ".join(map(self.cache.__getitem__, keys))
-        odd = self.cache.odd
-        if odd and not odd.keys().isdisjoint(keys):
-            back = "".join([odd.get(k) or _itself(k) for k in keys])
-            back = back[1:] if back[:1] == " " else back
+        n, width = len(parts), max(map(len, parts))
+        size = np.fromiter(map(len, parts), np.int64, n)
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        s = np.zeros((n, width + 1), np.int32)  # a last column of nothing moves in as rows close up
+        s[:, :width][np.arange(width) < size[:, None]] = self.symbol_of_point[points]
+        joined = np.zeros((n, width + 1), np.int32)
+        joined[:, :-1] = self.pairs.find(s[:, :-1], s[:, 1:])
+        final, rows = np.zeros((n, width), np.int32), np.arange(n)
+        place = np.minimum(np.arange(width + 1)[None, :] + np.tri(width + 1, width + 1, -1, np.int64).T, width)
+        while len(rows):
+            cost = self.symbol_cost[joined]
+            best = cost.argmin(axis=1)
+            at = np.arange(len(rows))
+            go = cost[at, best] < np.inf
+            if not go.all():
+                final[rows[~go]] = s[~go, :width]
+                rows, s, joined, best = rows[go], s[go], joined[go], best[go]
+                at = np.arange(len(rows))
+            new = joined[at, best]
+            # the joined pair's right symbol goes, what follows moves up
+            after = at[:, None] * (width + 1) + place[best]
+            s, joined = s.ravel()[after], joined.ravel()[after]
+            s[at, best] = new
+            left = np.flatnonzero(best > 0)
+            here = best[left] - 1
+            found = self.pairs.find(
+                np.concatenate([new, s[left, here]]), np.concatenate([s[at, np.minimum(best + 1, width)], new[left]])
+            )
+            joined[at, best], joined[left, here] = found[: len(at)], found[len(at) :]
+        held = final > 0
+        ids = self.symbol_id[final]
+        spelt = ((ids < 0) & held).any(axis=1)
+        flat = ids[held].tobytes()
+        ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+        return [None if bad else flat[a:b] for bad, a, b in zip(spelt.tolist(), [0, *ends], ends)]
+
+    def key_ids(self, key: str) -> bytes:
+        if key[0] == SPACE:
+            found = self.part_ids(key)
+        elif key[0] != "\n":
+            found = self.part_ids(SPACE + key)
         else:
-            back = text.replace(SPACE, " ")
-        return (f"{joined} {self.end_id}" if joined else str(self.end_id)), back
-
-    def decode_part(self, ids: list[int]) -> str:
-        """Text of ids, the dummy prefix still in place."""
-        if min(ids) > self.last_special:
-            return "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ")
-        return self.decode(ids, prefix=True)
-
-    def decode(self, ids: list[int], prefix: bool = False) -> str:
+            found = self.part_ids("\n") + (self.part_ids(key[1:]) if len(key) > 1 else [])
+        return np.array(found, np.int32).tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, without the end id.  What the cache lacks of their parts is encoded first, together."""
+        keys = [self.parts(t) for t in texts]
+        ids = self.cache.ready(set().union(*keys))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, k)), np.int32) for k in keys]
+
+    def text_of(self, ids: list[int]) -> str:
+        """As ``decode``, quick where no id needs its neighbours: bytes of other than ASCII characters do."""
+        try:
+            text = "".join(map(self.said.__getitem__, ids))
+        except TypeError:
+            return self.decode(ids)
+        return text[1:] if text[:1] == " " else text
+
+    def decode(self, ids: list[int]) -> str:
         """Text of ids: control pieces are dropped, byte pieces decoded together, the dummy prefix removed."""
         out, raw = [], bytearray()
         for i in ids:
@@ -210,41 +254,91 @@ class PieceModel:
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " and not prefix else text
-
-
-def _itself(key: str) -> str:
-    """What a part says, space marks as spaces."""
-    return key.replace(SPACE, " ") if key[0] in (SPACE, "\n") else " " + key
-
-
-class _Cache(dict):
-    """part -> its ids in decimal, in two generations of bounded size; odd has the parts that decode to something else.
+        return text[1:] if text[:1] == " " else text
+
+
+class _Pairs:
+    """Two symbols -> the symbol they join to, 0 for none: an open hash table in numpy arrays."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.value = np.zeros(1 << self.bits, np.int32)
+        left = np.fromiter((a for a, _ in pairs), np.int64, len(pairs))
+        right = np.fromiter((b for _, b in pairs), np.int64, len(pairs))
+        keys = (left << 32) | right
+        values = np.fromiter(pairs.values(), np.int32, len(pairs))
+        at = self._slot(keys)
+        while len(keys):
+            free = self.key[at] < 0
+            first = np.zeros(len(keys), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.key[at[put]], self.value[at[put]] = keys[put], values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & (len(self.key) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.int64).ravel() << 32) | right.ravel()
+        at = self._slot(keys)
+        held = self.key[at]
+        hit = held == keys
+        out = self.value[at] * hit
+        todo = np.flatnonzero(~hit & (held >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.key) - 1)
+            held = self.key[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.value[at[hit]]
+            more = ~hit & (held >= 0)
+            todo, at = todo[more], at[more]
+        return out.reshape(left.shape)
+
+
+class _Cache:
+    """part -> its ids, in two generations of bounded size.
 
     When the young generation is full it becomes the old one; what is still used moves on.  Very long parts are
-    not kept.
+    not kept from batch to batch.
     """
 
+    LONG, ROW = 64, 40
+
     def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model, self.old = model, {}
-        self.odd: dict[str, str] = {}
-        self.made: list[str] = []  # parts encoded since the last check
-
-    def __missing__(self, part: str) -> str:
-        found = self.old.get(part)
-        if found is None:
-            ids = self.model.key_ids(part)
-            self.made.append(part)
-            found = " ".join(map(str, ids))
-            if (back := self.model.decode_part(ids)) != _itself(part):
-                self.odd[part] = back
-        if len(part) <= 64:
-            if len(self) >= self.model.cache_size:
-                self.old = dict(self)
-                self.clear()
-            self[part] = found
-        return found
+        self.model = model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ready(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of all ``keys``: those not held are encoded together, by agendas in rows where they are short."""
+        if len(self.young) >= self.model.cache_size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = dict(zip(keys, map(young.get, keys)))
+        new = [k for k, found in out.items() if found is None]
+        short: tuple[list[str], ...] = ([], [], [])
+        for k, found in zip(new, map(old.get, new)):
+            if found is None:
+                if len(k) < self.ROW and k[0] != "\n":
+                    short[0 if len(k) < 8 else 1 if len(k) < 16 else 2].append(k)
+                    continue
+                found = self.model.key_ids(k)
+            out[k] = found
+            if len(k) <= self.LONG:
+                young[k] = found
+        for same in short:
+            for at in range(0, len(same), 4096):
+                some = same[at : at + 4096]
+                coded = self.model.agenda_rows([k if k[0] == SPACE else SPACE + k for k in some])
+                if None in coded:
+                    coded = [self.model.key_ids(k) if ids is None else ids for k, ids in zip(some, coded)]
+                more = dict(zip(some, coded))
+                out.update(more)
+                young.update(more)
+        return out
 
 
 _models: dict[str, PieceModel] = {}
@@ -261,18 +355,71 @@ def release() -> None:
     _models.clear()
 
 
+def bounded(batch: pa.RecordBatch, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, and ``size`` bytes of text (column 1) but for single longer ones."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and (held + n > size or i - start == rows):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, check: str = "texts", ids: bool = False, cache_size: int = 350_000) -> DataFrame:
+def coded_batches(batches: Iterator[pa.RecordBatch], model_path: str, check: bool, with_ids: bool, cache_size: int) -> Iterator[pa.RecordBatch]:
+    """What ``encode_documents`` returns for batches of doc_id and text."""
+    model, library = _model(model_path, cache_size), None
+    if check:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    names, end, no_ids = list(map(str, range(len(model.pieces)))), model.end_id, np.empty(0, np.int32)
+
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    for batch in batches:
+        for piece in bounded(batch):  # bounds what is held as Python objects
+            texts = [t or "" for t in piece.column(1).to_pylist()]
+            coded = model.encode_batch(texts)
+            agrees = [True] * len(texts)
+            if library is not None:
+                theirs = [np.asarray(i) if len(i) else no_ids for i in library.encode(texts, num_threads=1, return_type="numpy")]
+                agrees = list(map(np.array_equal, coded, theirs))
+                coded = theirs
+            lists = [i.tolist() for i in coded]
+            plain = list(map(model.text_of, lists))
+            if library is not None:
+                back = library.decode(lists, num_threads=1)
+                agrees = [a and x == y for a, x, y in zip(agrees, plain, back)]
+                plain = back
+            for i in lists:
+                i.append(end)
+            cols = [
+                piece.column(0).cast(pa.int64()),
+                pa.array(map(len, lists), pa.int64()),
+                pa.array([sha(" ".join(map(names.__getitem__, i))) for i in lists]),
+                pa.array(map(sha, plain)),
+                pa.array(agrees),
+            ]
+            if with_ids:
+                cols.append(pa.array(lists, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees", *["ids"] * with_ids])
+
+
+def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids: bool = False, cache_size: int = 350_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees (and ids where asked): a row a document.
 
-    Every text is encoded by the agenda, with an end id only, and decoded from those ids.  The sentencepiece
-    library checks each Arrow batch: with ``check`` "parts" ids and text of every part that the agenda has
-    encoded for it, with "texts" those of every whole text, with "" nothing.  Where they differ the batch's
-    rows have the library's ids and text, and ``agrees`` is false where those differ from ours.
-    ``model_path`` must exist on every worker.  Memory: a batch, the longest text's symbols, and a cache of
-    bounded size (two generations of ``cache_size`` parts, about 220 bytes each).
+    Every text is encoded by the agenda, with an end id only, and its ids are decoded again.  With ``check`` the
+    sentencepiece library encodes every whole text too, a batch at a time, and decodes its own ids; where either
+    differs from ours the row has the library's, and ``agrees`` is false.
+    ``model_path`` must exist on every worker.  Memory: a batch of up to 2 MB or one longer text, and a
+    cache of bounded size (two generations of ``cache_size`` parts and a batch's, about 220 bytes each).
 
     Null text is empty: the end id alone, decoded to an empty text.  Null ids and repeated rows stay as they
     are.  Empty table: no rows.  Only doc_id and text are read.
@@ -280,36 +427,6 @@ def encode_documents(docs: DataFrame, model_path: str, check: str = "texts", ids
     schema = SCHEMA + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, library = _model(model_path, cache_size), None
-        if check:
-            import sentencepiece
-
-            library = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        sha = hashlib.sha256
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # bounds what is held as Python objects
-                piece = batch.slice(at, 64)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                rows = list(map(model.encode_text, texts))
-                agrees = [True] * len(rows)
-                made, model.cache.made = model.cache.made, []
-                if library is not None and (check == "texts" or not model.agrees(made, library)):
-                    for i, theirs in enumerate(library.encode(texts, num_threads=1)):
-                        theirs.append(model.end_id)
-                        right = (" ".join(map(str, theirs)), library.decode(theirs))
-                        agrees[i] = right == rows[i]
-                        rows[i] = right
-                cols = [
-                    piece.column(0).cast(pa.int64()),
-                    pa.array([joined.count(" ") + 1 for joined, _ in rows], pa.int64()),
-                    pa.array([sha(joined.encode()).hexdigest() for joined, _ in rows]),
-                    pa.array([sha(back.encode()).hexdigest() for _, back in rows]),
-                    pa.array(agrees),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
-                if ids:
-                    cols.append(pa.array([list(map(int, joined.split())) for joined, _ in rows], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        yield from coded_batches(batches, model_path, check, ids, cache_size)
 
     return docs.select("doc_id", "text").mapInArrow(in_worker(run, "pieces", release), schema)
