@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ _releases: dict[str, Callable[[], None]] = {}
 
 
 def in_worker(run: Callable, name: str, release: Callable[[], None] | None = None) -> Callable:
-    """A function for ``mapInArrow`` that keeps its Python worker small.
+    """A function for ``mapInArrow`` that keeps its Python worker small, and to one thread.
 
     Caches that other operators left in the worker are dropped when it starts; ``release`` empties the operator's
     own ones, which otherwise serve its next task there.  Free memory goes back to the system at the end.
@@ -89,6 +90,7 @@ def in_worker(run: Callable, name: str, release: Callable[[], None] | None = Non
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over(name, release)
+        one_thread()
         try:
             yield from run(batches)
         finally:
@@ -104,6 +106,16 @@ def take_over(name: str, release: Callable[[], None] | None) -> None:
         _releases[name] = release
 
 
+def one_thread() -> None:
+    """Numpy's matrix products in this worker use one thread: a task has one core, and helpers wait for work by spinning."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_worker, materialize
 
 #: Words the network knows by name, words a class, width of its state.
 VOCABULARY, PER_CLASS, STATE = 2048, 64, 16
@@ -21,7 +23,9 @@ VOCABULARY, PER_CLASS, STATE = 2048, 64, 16
 DICTIONARY = 1 << 18
 #: Kinds of all other words: 29 first letters times whether the last one is a letter or digit.
 KINDS = 58
-SHARE = 16
+#: Sixteenths of the learned documents that the rounds of training take, one after the other.
+SHARES = (1, 1, 2, 4, 8)
+PARTS = 16
 
 
 def words(text: str | None) -> list[bytes]:
@@ -72,7 +76,7 @@ def count_words(docs: DataFrame, most: int = 400_000) -> DataFrame:
         if held:
             yield flush()
 
-    parts = docs.select("text").mapInArrow(run, "word long, kind int, n long")
+    parts = docs.select("text").mapInArrow(in_worker(run, "gru"), "word long, kind int, n long")
     return parts.groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
 
 
@@ -179,14 +183,14 @@ class Network:
             return cls({k: f[k] for k in cls.names})
 
     def window(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-        """States before each token of a window (steps, lanes) and after the last; ``fresh`` marks first tokens."""
+        """States before each token of a window (steps, lanes), after the last, and the gates if kept; ``fresh`` marks first tokens."""
         p, s = self.p, STATE
         gates = p["x"][ids]
         u = p["u"]
         steps = len(ids)
         before = np.empty((steps, *h.shape), np.float32)
-        kept = []
-        some = fresh.any(axis=1)
+        kept = np.empty((4, steps, *h.shape), np.float32) if keep else None
+        some = fresh.any(axis=1).tolist()
         for t in range(steps):
             if some[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
@@ -199,15 +203,10 @@ class Network:
             z, r = zr[:, :s], zr[:, s:]
             n = np.tanh(g[:, 2 * s :] + r * hu[:, 2 * s :])
             if keep:
-                kept.append((z, r, n, hu[:, 2 * s :]))
+                kept[0, t], kept[1, t], kept[2, t], kept[3, t] = z, r, n, hu[:, 2 * s :]
             h = n + z * (h - n)
         return before, h, kept
 
-    @staticmethod
-    def _log_softmax(a: np.ndarray) -> np.ndarray:
-        a = a - a.max(axis=1, keepdims=True)
-        return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
-
     def _small(self) -> bool:
         """Whether no output can overflow an exponential, states being between -1 and 1."""
         most = lambda w, b: float((np.abs(w).sum(axis=-2) + np.abs(b)).max())
@@ -236,148 +235,251 @@ class Network:
                 out[order[w]] += self._picked(hs[w] @ p["ww"][c] + p["bw"][c], ws[w], small)
         return out
 
+    @staticmethod
+    def _chances(h1: np.ndarray, w: np.ndarray, bias: np.ndarray, small: bool) -> np.ndarray:
+        """Softmax of states that end with a one."""
+        a = h1 @ np.concatenate([w, bias[None, :]])
+        if not small:
+            a -= a.max(axis=1, keepdims=True)
+        np.exp(a, out=a)
+        a *= 1 / (a @ np.ones((a.shape[1], 1), a.dtype))
+        return a
+
     def outputs(self, h: np.ndarray, ids: np.ndarray, grads: dict):
         """Adds the outputs' gradients to ``grads``; returns that of the states."""
-        p = self.p
+        p, small = self.p, self._small()
         named = ids < VOCABULARY
         cls = np.where(named, ids // PER_CLASS, ids - VOCABULARY + self.classes)
-        d = np.exp(self._log_softmax(h @ p["wc"] + p["bc"]))
+        h1 = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+        d = self._chances(h1, p["wc"], p["bc"], small)
         d[np.arange(len(ids)), cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
+        g = h1.T @ d
+        grads["wc"] += g[:-1]
+        grads["bc"] += g[-1]
         dh = d @ p["wc"].T
         known = np.flatnonzero(named)
-        known = known[np.argsort(cls[known], kind="stable")]
-        ends = np.searchsorted(cls[known], np.arange(self.classes + 1))
+        known = known[np.argsort(cls[known].astype(np.int16), kind="stable")]
+        ends = np.searchsorted(cls[known], np.arange(self.classes + 1)).tolist()
+        hs, ws = h1[known], ids[known] % PER_CLASS
+        back = np.empty((len(known), STATE), h.dtype)
         for c in range(self.classes):
-            at = known[ends[c] : ends[c + 1]]
-            if len(at):
-                hc, w = h[at], ids[at] % PER_CLASS
-                d = np.exp(self._log_softmax(hc @ p["ww"][c] + p["bw"][c]))
-                d[np.arange(len(at)), w] -= 1
-                grads["ww"][c] += hc.T @ d
-                grads["bw"][c] += d.sum(0)
-                dh[at] += d @ p["ww"][c].T
+            if ends[c] < ends[c + 1]:
+                w = slice(ends[c], ends[c + 1])
+                d = self._chances(hs[w], p["ww"][c], p["bw"][c], small)
+                d[np.arange(len(d)), ws[w]] -= 1
+                g = hs[w].T @ d
+                grads["ww"][c] += g[:-1]
+                grads["bw"][c] += g[-1]
+                back[w] = d @ p["ww"][c].T
+        dh[known] += back
         return dh
 
-    def gradients(self, ids: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray):
-        """Truncated backpropagation through one window; ``used`` marks tokens that count."""
+    def gradients(self, ids: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray, grads: dict | None = None):
+        """Truncated backpropagation through one window, added to ``grads``; ``used`` marks tokens that count."""
         p, s = self.p, STATE
-        before, after, kept = self.window(ids, fresh, h, True)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        before, after, (z, r, n, hu) = self.window(ids, fresh, h, True)
+        grads = {k: np.zeros_like(v) for k, v in p.items()} if grads is None else grads
         at = np.flatnonzero(used.ravel())
         dout = np.zeros((ids.size, s), np.float32)
         dout[at] = self.outputs(before.reshape(-1, s)[at], ids.ravel()[at], grads)
         dout = dout.reshape(before.shape)
+        # what a state's gradient is multiplied with on its way to the gates, for all steps at once
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = hu * r * (1 - r)
         dx = np.empty((*ids.shape, 3 * s), np.float32)
+        back = np.empty((*ids.shape, 3 * s), np.float32)
+        ut, some = p["u"].T, fresh.any(axis=1).tolist()
         dh = np.zeros_like(h)
         for t in range(len(ids) - 1, -1, -1):
-            z, r, n, hu = kept[t]
-            prev = before[t]
-            dan = dh * (1 - z) * (1 - n * n)
-            daz = dh * (prev - n) * z * (1 - z)
-            dar = dan * hu * r * (1 - r)
-            dx[t, :, :s], dx[t, :, s : 2 * s], dx[t, :, 2 * s :] = daz, dar, dan
-            back = np.concatenate([daz, dar, dan * r], axis=1)
-            grads["u"] += prev.T @ back
-            dh = dh * z + back @ p["u"].T + dout[t]
-            dh[fresh[t]] = 0
-        np.add.at(grads["x"], ids.ravel(), dx.reshape(-1, 3 * s) * used.reshape(-1, 1))
+            dan = dh * to_n[t]
+            x, b = dx[t], back[t]
+            np.multiply(dh, to_z[t], out=x[:, :s])
+            np.multiply(dan, to_r[t], out=x[:, s : 2 * s])
+            x[:, 2 * s :] = dan
+            b[:, : 2 * s] = x[:, : 2 * s]
+            np.multiply(dan, r[t], out=b[:, 2 * s :])
+            dh = dh * z[t] + b @ ut + dout[t]
+            if some[t]:
+                dh[fresh[t]] = 0
+        grads["u"] += before.reshape(-1, s).T @ back.reshape(-1, 3 * s)
+        flat, dx = ids.ravel()[at], dx.reshape(-1, 3 * s)[at]
+        if len(at):
+            order = np.argsort(flat.astype(np.int16), kind="stable")
+            sorted_ = flat[order]
+            starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            grads["x"][sorted_[starts]] += np.add.reduceat(dx[order], starts)
         return grads, len(at), after
 
 
-def lanes(docs: list[np.ndarray], n: int):
-    """Documents dealt to ``n`` lanes, longest first to the shortest lane: ids, fresh, owner (-1: no token) by step and lane."""
-    n = max(1, min(n, len(docs)))
-    length, filled = np.zeros(n, np.int64), [[] for _ in range(n)]
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        at = int(length.argmin())
-        filled[at].append(i)
-        length[at] += len(docs[i])
-    order = np.argsort(-length)
-    steps = int(length.max())
-    ids, fresh, owner = np.zeros((steps, n), np.int64), np.zeros((steps, n), bool), np.full((steps, n), -1)
-    for lane, k in enumerate(order):
-        at = 0
-        for i in filled[k]:
-            ids[at : at + len(docs[i]), lane], owner[at : at + len(docs[i]), lane], fresh[at, lane] = docs[i], i, True
-            at += len(docs[i])
-    return ids, fresh, owner
-
-
-def score_group(net: Network, docs: list[np.ndarray], n_lanes: int = 256, steps: int = 64) -> np.ndarray:
-    """Natural log probability of each document; the state goes on from window to window until its end."""
-    ids, fresh, owner = lanes(docs, n_lanes)
-    total = np.zeros(len(docs))
-    h = np.zeros((ids.shape[1], STATE), np.float32)
-    for at in range(0, len(ids), steps):
-        alive = int((owner[at] >= 0).sum())  # lanes are in order of length
-        w = slice(at, at + steps)
-        before, h, _ = net.window(ids[w, :alive], fresh[w, :alive], h[:alive], False)
-        own = owner[w, :alive].ravel()
+def windows(docs: Iterator[tuple], n_lanes: int, steps: int):
+    """Documents, whose last field is their ids, side by side in lanes: a lane goes on to the next document where one ends.
+
+    Yields lanes, ids, fresh, owner and pieces for one window after the other.  ``lanes`` are the lanes with any token left;
+    ids, fresh and owner are (steps, lanes), owner the number of the piece or -1 for no token; a piece is (document,
+    lane, whether it ends here).  Held are a window and the documents it touches, whatever their lengths.
+    """
+    source = iter(docs)
+    now: list[tuple | None] = [None] * n_lanes
+    live, dry = list(range(n_lanes)), False
+    while live:
+        ids, owner = np.zeros((len(live), steps), np.int64), np.full((len(live), steps), -1)
+        fresh = np.zeros((len(live), steps), bool)
+        pieces: list[tuple] = []
+        left = []
+        for row, k in enumerate(live):
+            at = 0
+            while at < steps:
+                if now[k] is None:
+                    doc = None if dry else next(source, None)
+                    if doc is None:
+                        dry = True
+                        break
+                    now[k] = (doc, 0)
+                    fresh[row, at] = True
+                doc, start = now[k]
+                take = min(steps - at, len(doc[-1]) - start)
+                ids[row, at : at + take] = doc[-1][start : start + take]
+                owner[row, at : at + take] = len(pieces)
+                ends = start + take == len(doc[-1])
+                pieces.append((doc, k, ends))
+                now[k] = None if ends else (doc, start + take)
+                at += take
+            if at:
+                left.append(row)
+        live = [live[row] for row in left]
+        if live:
+            yield np.array(live), *(np.ascontiguousarray(x[left].T) for x in (ids, fresh, owner)), pieces
+
+
+def scored(net: Network, docs: Iterator[tuple], n_lanes: int = 256, steps: int = 64) -> Iterator[tuple[tuple, float]]:
+    """Documents with their natural log probability, as they end; the state goes on from window to window."""
+    h, sums = np.zeros((n_lanes, STATE), np.float32), [0.0] * n_lanes
+    for lanes, ids, fresh, owner, pieces in windows(docs, n_lanes, steps):
+        before, h[lanes], _ = net.window(ids, fresh, h[lanes], False)
+        own = owner.ravel()
         real = np.flatnonzero(own >= 0)
-        logp = net.scores(before.reshape(-1, STATE)[real], ids[w, :alive].ravel()[real])
-        total += np.bincount(own[real], logp, len(docs))
-    return total
-
-
-def train_group(net: Network, docs: list[np.ndarray], adam: dict, rate: float, n_lanes: int = 32, steps: int = 32) -> int:
-    ids, fresh, owner = lanes(docs, n_lanes)
-    h = np.zeros((ids.shape[1], STATE), np.float32)
-    seen = 0
-    for at in range(0, len(ids), steps):
-        w = slice(at, at + steps)
-        alive = max(1, int((owner[at] >= 0).sum()))
-        grads, n, h = net.gradients(ids[w, :alive], fresh[w, :alive], owner[w, :alive] >= 0, h[:alive])
-        seen += n
+        logp = net.scores(before.reshape(-1, STATE)[real], ids.ravel()[real])
+        for (doc, k, ends), x in zip(pieces, np.bincount(own[real], logp, len(pieces)).tolist()):
+            sums[k] += x
+            if ends:
+                yield doc, sums[k]
+                sums[k] = 0.0
+
+
+def train_on(net: Network, docs: Iterator[tuple], adam: dict, rate: float, n_lanes: int = 128, steps: int = 32) -> int:
+    """Adam steps on windows; those with few tokens left are gathered until they have half a full one's."""
+    h = np.zeros((n_lanes, STATE), np.float32)
+    seen = held = 0
+    grads = None
+
+    def step(n: int) -> None:
         adam["t"] = adam.get("t", 0) + 1
         fix = np.sqrt(1 - 0.999 ** adam["t"]) / (1 - 0.9 ** adam["t"])
         for k, g in grads.items():
-            g /= n_lanes * steps  # a window with few tokens left weighs little
+            g /= max(n, n_lanes * steps // 2)
             m, v = adam.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
             # biases start at the corpus's frequencies and hardly need to move
-            net.p[k] -= (rate / 10 if k[0] == "b" else rate) * fix * m / (np.sqrt(v) + 1e-8)
+            net.p[k] -= np.float32((rate / 10 if k[0] == "b" else rate) * fix) * m / (np.sqrt(v) + np.float32(1e-8))
+
+    for lanes, ids, fresh, owner, _ in windows(docs, n_lanes, steps):
+        grads, n, h[lanes] = net.gradients(ids, fresh, owner >= 0, h[lanes], grads)
+        seen, held = seen + n, held + n
+        if held * 2 >= n_lanes * steps:
+            step(held)
+            grads, held = None, 0
+    if held:
+        step(held)
     return seen
 
 
-def _groups(docs: Iterator[tuple], tokens: int = 400_000) -> Iterator[list[tuple]]:
-    held, n = [], 0
-    for d in docs:
-        held.append(d)
-        n += len(d[-1])
-        if n >= tokens:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+_slots: dict[str, _Slots] = {}
+
+
+def release() -> None:
+    """Drops this worker's dictionary; called by name, so that the worker's own one goes."""
+    _slots.clear()
+
+
+def _symbols(ws: list[bytes], slots: _Slots, symbols: np.ndarray, end: int):
+    """The network's symbols of a text with its end, and the words' places in the dictionary."""
+    places = np.fromiter(map(slots.__getitem__, ws), np.int64, len(ws))
+    ids = np.empty(len(ws) + 1, np.int16)
+    known = places >= 0
+    ids[:-1][known] = symbols[places[known]]
+    ids[:-1][~known] = VOCABULARY - 1 - places[~known]
+    ids[-1] = end
+    return ids, places
 
 
-def train(docs: DataFrame, corpus: Corpus, share: int = SHARE, rounds: int | None = None, rate: float = 0.02) -> Network:
-    """Rounds of local training and averaging.
+def tokens(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """row, doc_id, held_out, part, n_tokens, n_known, base, inner, rare, ids: every text read once for training and scoring.
 
-    In round i the tasks train copies of the network on the learned documents whose id hash leaves i when
-    divided by ``share``; ``share`` rounds, unless told otherwise, so each of them is learned from once.  The copies are
-    averaged by tokens in two grouped steps on the executors, so the driver gets one network.
+    ids are the network's symbols (two bytes each), rare the keys of words beyond the dictionary.  base and inner are the
+    sums over the words in it: log10 of add-one unigrams, and of a word's share within its kind where the network has no
+    name for it.
     """
-    net = Network.start(corpus)
-    spark = docs.sparkSession
-    for i in range(share if rounds is None else rounds):
-        blob = spark.sparkContext.broadcast((net.pack(), corpus))
+    sent = docs.sparkSession.sparkContext.broadcast(corpus)
+    tag = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], blob=blob) -> Iterator[pa.RecordBatch]:
-            packed, known = blob.value
-            own, slots, symbols = Network.unpack(packed), _Slots(known), known.symbols()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        if tag not in _slots:
+            _slots.clear()
+            _slots[tag] = _Slots(known)
+        slots, symbols = _slots[tag], known.symbols()
+        log_count, log_mass = np.log10(known.counts + 1.0), np.log10(known.kind_mass)
+        base_all = math.log10(known.total + known.distinct + 1)
+        end_base = math.log10(known.ends + 1) - base_all
+        names = ["doc_id", "held_out", "part", "n_tokens", "n_known", "base", "inner", "rare", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
+
+        def flush(rows: list[tuple], first: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*first, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
+
+        for whole in batches:
+            start, held, rows = 0, 0, []
+            for i, text in enumerate(whole.column(3)):
+                ws = words(text.as_py())
+                ids, places = _symbols(ws, slots, symbols, known.end)
+                here = places[places >= 0]
+                other = ids[:-1][ids[:-1] >= VOCABULARY] - VOCABULARY
+                base = log_count[here].sum() - len(ws) * base_all + end_base
+                inner = log_count[here[here >= known.named]].sum() - log_mass[other].sum()
+                rare = [word_key(ws[k]) for k in np.flatnonzero(places < 0)]
+                rows.append((len(ids), len(here) + (known.ends > 0), base, inner, rare, ids.tobytes()))
+                held += len(ids)
+                if held >= 400_000 or i == whole.num_rows - 1:
+                    yield flush(rows, [c.slice(start, len(rows)) for c in whole.columns[:3]])
+                    start, held, rows = i + 1, 0, []
+
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int").alias("part")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), part, "text")
+    out = given.mapInArrow(
+        in_worker(run, "gru", release),
+        "doc_id long, held_out boolean, part int, n_tokens long, n_known long, base double, inner double, rare array<long>, ids binary",
+    )
+    return out.withColumn("row", F.monotonically_increasing_id())
 
-            def texts():
-                for batch in batches:
-                    for text in batch.column(0):
-                        yield (_ids(words(text.as_py()), slots, symbols, known.end)[0],)
 
-            adam, seen = {}, 0
-            for group in _groups(texts()):
-                seen += train_group(own, [g[-1] for g in group], adam, rate)
+def train(learned: DataFrame, corpus: Corpus, shares: tuple[int, ...] = SHARES, rate: float = 0.02) -> Network:
+    """Rounds of local training and averaging on the rows of ``tokens`` to learn from.
+
+    In a round the tasks train copies of the network on the documents whose part, of ``PARTS``, is among the round's;
+    ``shares`` cover all parts, so each document is learned from once.  Rounds grow, as the network changes most at
+    first.  The copies are averaged by tokens in grouped steps of about 32 on the executors, so the driver gets one network.
+    """
+    net = Network.start(corpus)
+    spark = learned.sparkSession
+    for i, share in enumerate(shares):
+        blob = spark.sparkContext.broadcast(net.pack())
+
+        def run(batches: Iterator[pa.RecordBatch], blob=blob) -> Iterator[pa.RecordBatch]:
+            own = Network.unpack(blob.value)
+            docs = ((np.frombuffer(x.as_buffer(), np.int16),) for batch in batches for x in batch.column(0))
+            seen = train_on(own, docs, {}, rate)
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_64_intdigest(own.p["u"].tobytes()) % 2**31], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.pack()])],
@@ -395,31 +497,21 @@ def train(docs: DataFrame, corpus: Corpus, share: int = SHARE, rounds: int | Non
                 out = Network({a: (v / n).astype(np.float32) for a, v in total.items()}).pack()
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(out) % 2**31], pa.int32()), pa.array([n], pa.int64()), pa.array([out])], names=["g", "n", "net"])
 
-        sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == i).select("text")
-        trained = sample.mapInArrow(run, "g int, n long, net binary")
+        sample = learned.where(F.col("part").between(sum(shares[:i]), sum(shares[: i + 1]) - 1)).select("ids")
+        schema = "g int, n long, net binary"
+        trained = sample.mapInArrow(in_worker(run, "gru"), schema)
         width = sample.rdd.getNumPartitions()
         while width > 32:  # a tree: about 32 copies meet in a task
             width = -(-width // 32)
-            trained = trained.repartition(width, "g").mapInArrow(mean, "g int, n long, net binary")
-        last = trained.repartition(1).mapInArrow(mean, "g int, n long, net binary").collect()
+            trained = trained.repartition(width, "g").mapInArrow(in_worker(mean, "gru"), schema)
+        last = trained.repartition(1).mapInArrow(in_worker(mean, "gru"), schema).collect()
         blob.unpersist()
         if last:
             net = Network.unpack(bytes(last[0]["net"]))
     return net
 
 
-def _ids(ws: list[bytes], slots: _Slots, symbols: np.ndarray, end: int):
-    """The network's symbols of a text with its end, and the words' places in the dictionary."""
-    places = np.fromiter(map(slots.__getitem__, ws), np.int64, len(ws))
-    ids = np.empty(len(ws) + 1, np.int64)
-    known = places >= 0
-    ids[:-1][known] = symbols[places[known]]
-    ids[:-1][~known] = VOCABULARY - 1 - places[~known]
-    ids[-1] = end
-    return ids, places
-
-
-def score(docs: DataFrame, share: int = SHARE, rounds: int | None = None) -> DataFrame:
+def score(docs: DataFrame, shares: tuple[int, ...] = SHARES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``docs``.
 
     Counts cover every learned document.  The network predicts the next symbol: one of the most frequent words
@@ -427,6 +519,8 @@ def score(docs: DataFrame, share: int = SHARE, rounds: int | None = None) -> Dat
     the end is a class of its own.  So score is a log10 probability of the whole text over the same events as
     base_score (add-one unigram).  Counts of words beyond the bounded dictionary come by a join, for all rows.
 
+    Memory of a task: a window of its lanes and the documents in them, whatever the longest one's length.
+
     Null or empty text: the end alone.  Null ids are learned from.  Repeated rows are rows like others.  No
     learned documents: the untrained network and N = 0.  Empty table: no rows.  Only doc_id and text are read.
     """
@@ -434,53 +528,32 @@ def score(docs: DataFrame, share: int = SHARE, rounds: int | None = None) -> Dat
     learned = docs.where(~held_out(F.col("doc_id")))
     counts = materialize(count_words(learned), "lm-counts")
     corpus = corpus_of(counts, learned.count())
-    net = train(learned, corpus, share, rounds)
-    sent = docs.sparkSession.sparkContext.broadcast((net.pack(), corpus))
-    base_all = float(np.log10(corpus.total + corpus.distinct + 1))
+    read = materialize(tokens(docs, corpus), "lm-tokens")
+    net = train(read.where("not held_out"), corpus, shares)
+    sent = docs.sparkSession.sparkContext.broadcast(net.pack())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, known = sent.value
-        own, slots, symbols = Network.unpack(packed), _Slots(known), known.symbols()
-        log_count = np.log10(known.counts + 1.0)
-        log_mass = np.log10(known.kind_mass)
-        end_base = np.log10(known.ends + 1.0) - base_all
+        own = Network.unpack(sent.value)
+        docs = ((batch.column(0)[i].as_py(), np.frombuffer(x.as_buffer(), np.int16)) for batch in batches for i, x in enumerate(batch.column(1)))
+        ended: list[tuple[int, float]] = []
 
-        def texts():
-            for batch in batches:
-                for doc_id, out, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                    ws = words(text.as_py())
-                    ids, places = _ids(ws, slots, symbols, known.end)
-                    rare = np.flatnonzero(places < 0)
-                    here = places[places >= 0]
-                    base = log_count[here].sum() - len(ws) * base_all + end_base
-                    other = ids[:-1][ids[:-1] >= VOCABULARY] - VOCABULARY
-                    # words that the network does not know by name: their share within their kind
-                    inner = log_count[here[here >= known.named]].sum() - log_mass[other].sum()
-                    yield doc_id.as_py(), out.as_py(), base, inner, len(here), [word_key(ws[i]) for i in rare], ids
-
-        for group in _groups(texts()):
-            logp = score_group(own, [g[-1] for g in group]) / np.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([g[0] for g in group], pa.int64()),
-                    pa.array([g[1] for g in group], pa.bool_()),
-                    pa.array([len(g[-1]) for g in group], pa.int64()),
-                    pa.array([g[4] + (known.ends > 0) for g in group], pa.int64()),
-                    pa.array([g[2] for g in group], pa.float64()),
-                    pa.array([g[3] + p for g, p in zip(group, logp)], pa.float64()),
-                    pa.array([g[5] for g in group], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
-            )
+        def flush() -> pa.RecordBatch:
+            rows, logp = zip(*ended)
+            ended.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(logp, pa.float64())], names=["row", "model"])
+
+        for doc, logp in scored(own, docs):
+            ended.append((doc[0], logp / math.log(10)))
+            if len(ended) >= 10_000:
+                yield flush()
+        if ended:
+            yield flush()
 
-    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    part = given.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"
-    )
-    part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    rare = part.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word", "left")
-    rare = rare.groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("log"))
-    out = part.drop("rare").join(rare, "row", "left")
+    model = read.select("row", "ids").mapInArrow(in_worker(run, "gru"), "row long, model double")
+    rare = read.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word", "left")
+    log = F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1))
+    rare = rare.groupBy("row").agg(F.count("n").alias("known"), log.alias("log"))
+    out = read.drop("rare", "ids", "part").join(model, "row").join(rare, "row", "left")
     log = F.coalesce("log", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -489,5 +562,5 @@ def score(docs: DataFrame, share: int = SHARE, rounds: int | None = None) -> Dat
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(corpus.total).cast("long").alias("train_tokens"),
         (F.col("base") + log).alias("base_score"),
-        (F.col("model") + log).alias("score"),
+        (F.col("inner") + F.col("model") + log).alias("score"),
     )

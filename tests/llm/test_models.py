@@ -67,9 +67,39 @@ def test_state_is_carried_whatever_the_window():
     net = gru.Network.start(tiny())
     rng = np.random.default_rng(4)
     docs = [rng.integers(0, gru.VOCABULARY, n) for n in (1, 5, 700, 64, 65, 3)]
-    one = np.array([gru.score_group(net, [d], 1, 10_000)[0] for d in docs])
-    for lanes, steps in ((1, 7), (2, 64), (256, 64)):
-        assert gru.score_group(net, docs, lanes, steps) == pytest.approx(one, rel=1e-4)
+    plain = [plain_score(net, d) for d in docs]
+    for lanes, steps in ((1, 7), (2, 64), (256, 64), (3, 10_000)):
+        got = {doc[0]: p for doc, p in gru.scored(net, enumerate(docs), lanes, steps)}
+        assert [got[i] for i in range(len(docs))] == pytest.approx(plain, rel=1e-4)
+
+
+def plain_score(net, ids):
+    """Log probability of one text, token by token in double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    s, h, out = gru.STATE, np.zeros(gru.STATE), 0.0
+    soft = lambda a: a - a.max() - np.log(np.exp(a - a.max()).sum())
+    for i in ids:
+        c = i // gru.PER_CLASS if i < gru.VOCABULARY else i - gru.VOCABULARY + net.classes
+        out += soft(h @ p["wc"] + p["bc"])[c]
+        if i < gru.VOCABULARY:
+            out += soft(h @ p["ww"][c] + p["bw"][c])[i % gru.PER_CLASS]
+        x, u = p["x"][i], h @ p["u"]
+        z, r = 1 / (1 + np.exp(-(x[:s] + u[:s]))), 1 / (1 + np.exp(-(x[s : 2 * s] + u[s : 2 * s])))
+        n = np.tanh(x[2 * s :] + r * u[2 * s :])
+        h = (1 - z) * n + z * h
+    return out
+
+
+def test_memory_follows_the_lanes_not_the_longest_text():
+    import tracemalloc
+
+    net = gru.Network.start(tiny())
+    docs = [np.zeros(300_000, np.int64), *[np.zeros(50, np.int64)] * 255]
+    tracemalloc.start()
+    assert len(list(gru.scored(net, ((d,) for d in docs)))) == 256
+    gru.train_on(net, ((d[:100_000],) for d in docs), {}, 0.02)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
 
 
 def model_text(i):
@@ -81,7 +111,7 @@ def test_scores(spark):
     rows = [(i, model_text(i)) for i in range(400)] + [(900, None), (901, ""), (902, " \n"), (None, "no id"), (903, "zzz qqq unseen"), (7, "again again")]
     rows += [(904, "sun " * 20_000)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, word string, n int").repartition(3)
-    got = {(r.doc_id, r.n_tokens, r.held_out): r for r in gru.score(df, share=2).collect()}
+    got = {(r.doc_id, r.n_tokens, r.held_out): r for r in gru.score(df).collect()}
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     words = lambda t: (t or "").lower().split()
     c, ends = collections.Counter(), 0
@@ -102,12 +132,39 @@ def test_scores(spark):
     assert gain / tokens > 0.05
 
 
+def test_scores_equal_a_plain_loop(spark, monkeypatch):
+    kept = {}
+
+    def started(docs, corpus, shares):
+        kept["net"], kept["corpus"] = gru.Network.start(corpus), corpus
+        return kept["net"]
+
+    monkeypatch.setattr(gru, "train", started)
+    rows = [(i, model_text(i)) for i in range(2500)] + [(9000, "Zzz zzz 12 unseen,"), (9001, None)]
+    got = {r.doc_id: r.score for r in gru.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    c = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in gru.words(t))
+    net, corpus = kept["net"], kept["corpus"]
+    named = {k: i for i, k in enumerate(corpus.keys[: corpus.named].tolist())}
+    mass = np.ones(gru.KINDS)
+    for w, n in c.items():
+        if gru.word_key(w) not in named:
+            mass[gru.kind(w)] += n + 1
+    assert len(c) > gru.VOCABULARY == corpus.named and mass == pytest.approx(corpus.kind_mass)
+    for i, t in [*rows[:20], *rows[-2:]]:
+        ids = [named.get(gru.word_key(w), gru.VOCABULARY + gru.kind(w)) for w in gru.words(t)]
+        inner = sum(math.log10((c[w] + 1) / mass[gru.kind(w)]) for w in gru.words(t) if gru.word_key(w) not in named)
+        assert got[i] == pytest.approx(plain_score(net, [*ids, corpus.end]) / math.log(10) + inner, rel=1e-4)
+
+
 def test_every_learned_document_trains_the_network(spark):
-    ids = spark.range(400).selectExpr("id", "pmod(xxhash64(id, 5), 16) AS part").collect()
     start = gru.Network.start(tiny())
-    for part in (2, 9, 15):
-        docs = spark.createDataFrame([(r.id, "red sun over hill " * 20) for r in ids if r.part == part], "doc_id long, text string").coalesce(1)
+    assert sum(gru.SHARES) == gru.PARTS
+    for part in range(gru.PARTS):
+        ids = np.arange(20, dtype=np.int16).tobytes()
+        docs = spark.createDataFrame([(part, bytearray(ids))], "part int, ids binary")
         assert (gru.train(docs, tiny()).p["u"] != start.p["u"]).any()
+    read = gru.tokens(spark.range(400).selectExpr("id AS doc_id", "'red sun' AS text"), tiny())
+    assert {r.part for r in read.select("part").distinct().collect()} == set(range(gru.PARTS))
 
 
 def test_nothing_to_learn_from(spark):
@@ -136,16 +193,23 @@ ALPHABET = st.one_of(st.sampled_from(" ▁\n\tabethin<0xA>é€𝄞\x00.,"), st.
 def test_pieces_equal_the_library(both, text):
     model, library = both
     ids = library.encode(text) + [model.end_id]
-    joined, back = model.encode_text(text)
-    assert ids == list(map(int, joined.split()))
-    assert back == library.decode(ids) == model.decode(ids)
-    assert model.agrees([k for k in set(model.parts(text))], library)
+    own = model.encode_batch([text, "", text])
+    assert [i.tolist() for i in own] == [ids[:-1], [], ids[:-1]]
+    assert library.decode(ids) == model.decode(ids) == model.text_of(ids[:-1])
 
 
-@pytest.mark.parametrize("check", ["parts", "texts", ""])
+def test_agendas_in_rows_equal_the_heap(both):
+    model, _ = both
+    parts = ["".join(random.choices("▁abethinsor'.,éx", k=random.randrange(1, 39))) for _ in range(3000)] + ["▁", "a", "▁Verachst", "▁é𝄞"]
+    for found, part in zip(model.agenda_rows(parts), parts):
+        assert found is None or np.frombuffer(found, np.int32).tolist() == model.part_ids(part)
+    assert None in model.agenda_rows(["▁\U0001f9ff", "▁the"]) and model.agenda_rows(["▁the"]) != [None]
+
+
+@pytest.mark.parametrize("check", [True, False])
 def test_documents(spark, both, check):
     model, library = both
-    texts = [None, "", " ", "a", "  two  spaces ", "tabs\tand\nlines\n\n", "long " * 30_000, "x" * 5000, "▁raw mark", "𝄞€é", "same", "same"]
+    texts = [None, "", " ", "a", "  two  spaces ", "tabs\tand\nlines\n\n", "long " * 30_000, "x" * 5000, "▁raw mark", "𝄞€é", "same", "same", "w " * 3_000_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "null id", 1)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r for r in pieces.encode_documents(df, piece_model(), check, ids=True).collect()}
     assert len(got) == len(texts) + 1
@@ -157,15 +221,30 @@ def test_documents(spark, both, check):
     assert pieces.encode_documents(df.limit(0), piece_model()).count() == 0
 
 
-def test_the_library_wins_where_it_differs(spark, both, monkeypatch):
-    model, library = both
-    assert not model.agrees(["abc"], type("Odd", (), {"encode": lambda s, t, num_threads: [[5]] * len(t), "decode": lambda s, x: [""] * len(x)})())
+def test_the_library_wins_where_it_differs(spark, tmp_path):
+    # worker modules cannot be patched from here: a library that errs stands first on their path
+    (tmp_path / "odd.py").write_text("class SentencePieceProcessor:\n    def __init__(self, model_file): pass\n    def encode(self, t, num_threads, return_type): return [[5]] * len(t)\n    def decode(self, x, num_threads): return ['five'] * len(x)\n")
+    import importlib.util
+    import sys
+
+    spec = importlib.util.spec_from_file_location("sentencepiece", tmp_path / "odd.py")
+    odd = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(odd)
+    held, sys.modules["sentencepiece"] = sys.modules.get("sentencepiece"), odd
+    try:
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["abc"])], names=["doc_id", "text"])
+        row = next(pieces.coded_batches(iter([batch]), piece_model(), True, True, 50)).to_pylist()[0]
+    finally:
+        sys.modules["sentencepiece"] = held
+    assert row["ids"] == [5, 2] and not row["agrees"] and row["decoded_sha256"] == hashlib.sha256(b"five").hexdigest()
 
 
 def test_whole_texts_are_checked_by_default():
     import inspect
 
-    assert inspect.signature(pieces.encode_documents).parameters["check"].default == "texts"
+    assert inspect.signature(pieces.encode_documents).parameters["check"].default is True
 
 
 # --- language ---------------------------------------------------------------------------------------------
