@@ -69,6 +69,36 @@ def null_safe_hash(*cols: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(*parts)
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """k1, k2: two 64-bit hashes of all columns of a row, so that equal keys mean equal rows."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    cols = [F.map_entries(_named(c)) if kinds[c] == "map" else _named(c) for c in df.columns]
+    return [null_safe_hash(*cols, seed=i).alias(f"k{i}") for i in (1, 2)]
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """k1, k2, row: a row travels as one value, so its columns may have any names."""
+    return df.select(*row_keys(df), F.struct(*[_named(c) for c in df.columns]).alias("row"))
+
+
+def once_each(rows: DataFrame, repeated: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``rows`` (k1, k2, row) with one of each group of equal ones; ``repeated`` (k1, k2; written) are their keys.
+
+    Only rows that are repeated are shuffled, one a task at most.  The keys are broadcast where they are at most
+    ``broadcast_rows`` (16 MB).
+    """
+    n = repeated.count()
+    if n == 0:
+        return rows
+    repeated = F.broadcast(repeated) if n <= broadcast_rows else repeated
+    many = rows.join(repeated, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return rows.join(repeated, ["k1", "k2"], "left_anti").unionByName(many)
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than space and x09-x0D; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, null_safe_hash, sums_before, word_count
+from .common import buckets_for, materialize, null_safe_hash, row_keys, sums_before, word_count
 
 SEED = 20_011
 
@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weight_cycle: int = 3,
     return s.select("source", "rank", "weight", "source_size", "source_rows", "budget", target.alias("target"))
 
 
-def mix(
+def mix_entries(
     docs: DataFrame,
     size: Column | None = None,
     max_epochs: int = 3,
@@ -49,8 +49,12 @@ def mix(
     share: float = 1.0,
     seed: int = SEED,
     rows_per_bucket: int = 1024,
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, digest, copy_no: a row for each row of ``docs``.
+) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``docs``, and the mix itself: a row for each pass of a document that the mix takes from.
+
+    Rows: k1, k2, copy_no, doc_id, source, size, source_size, target.  The mix: k1, k2, copy_no, pass, finish, size,
+    begin (words of the mix before it, so begin is its order) and taken.  k1 and k2 are ``row_keys``: fully repeated
+    rows share them and are numbered by copy_no.
 
     Each source's documents are put in a seeded order; a document's virtual finish time is the source's
     cumulative size up to it divided by the source's target, and goes on over up to ``max_epochs`` passes.
@@ -58,22 +62,13 @@ def mix(
     cut is taken in part.  Sums over an order are two-level: the order's key range is cut into buckets, one
     number a bucket is summed in order, and rows are summed within their bucket only, so a source that holds
     most rows is spread like any other.
-
-    Null text or ``size``: 0.  Null source: a source of its own, ranked last.  Null ids and fully repeated
-    rows are rows like others: copies are counted, numbered and shuffled apart.  Empty table: no rows.
-    Other columns are ignored, whatever their names.
     """
-    text = F.col("text")
-    rows = docs.select(
-        F.col("doc_id"),
-        F.col("source"),
-        (word_count(text) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"),
-    )
+    words = word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")
+    rows = docs.select(*row_keys(docs), F.col("doc_id"), F.col("source"), words.alias("size"))
     # equal rows are counted first, then numbered: copies get places of their own in the order
-    rows = rows.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("n"))
+    rows = rows.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count("*").alias("n"))
     rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
-    rows = rows.withColumn("h", null_safe_hash("doc_id", "source", "size", "digest", "copy_no", seed=seed))
+    rows = rows.withColumn("h", null_safe_hash("k1", "k2", "copy_no", seed=seed))
     rows = materialize(rows, "mix-rows")
     n_bins = buckets_for(rows.count(), rows_per_bucket)
     sources = source_targets(rows.select("source", "size"), max_epochs, weight_cycle, share)
@@ -85,7 +80,7 @@ def mix(
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["s_source"]), "inner").drop("s_source")
     rows = rows.withColumn("b", bucket)
     blocks = sums_before(rows.groupBy("rank", "b").agg(F.sum("size").alias("sum")), ["rank"], "b", "sum")
-    inside = W.partitionBy("rank", "b").orderBy(F.shiftrightunsigned("h", 1), "h", "doc_id", "copy_no")
+    inside = W.partitionBy("rank", "b").orderBy(F.shiftrightunsigned("h", 1), "h", "k1", "k2", "copy_no")
     rows = rows.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     rows = rows.join(blocks.select("rank", "b", "before"), ["rank", "b"]).withColumn("upto", F.col("upto") + F.col("before"))
 
@@ -95,18 +90,37 @@ def mix(
         F.sequence(F.lit(0), F.lit(max_epochs - 1)),
         lambda e: (F.col("size") > 0) & ((start + e * F.col("source_size")).cast("double") < F.col("target")),
     )
-    key = ["doc_id", "source", "size", "digest", "copy_no"]
-    info = ["source_size", "target"]
+    key = ["k1", "k2", "copy_no"]
+    info = ["doc_id", "source", "size", "source_size", "target"]
     rows = materialize(rows.select(*key, *info, "rank", "h", "budget", "upto", passes.alias("passes")), "mix-order")
-    entries = rows.withColumn("e", F.explode("passes")).drop("passes")
-    entries = entries.withColumn("finish", (F.col("upto") + F.col("e") * F.col("source_size")) / F.col("target"))
+    entries = rows.withColumn("pass", F.explode("passes")).drop("passes")
+    entries = entries.withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("target"))
     entries = entries.withColumn("bin", F.least(F.floor(F.col("finish") * n_bins), F.lit(n_bins)).cast("long"))
     bins = sums_before(entries.groupBy("bin").agg(F.sum("size").alias("sum")), [], "bin", "sum")
-    by_finish = W.partitionBy("bin").orderBy("finish", "rank", "e", "h", "doc_id", "copy_no")
+    by_finish = W.partitionBy("bin").orderBy("finish", "rank", "pass", "h", "k1", "k2", "copy_no")
     entries = entries.withColumn("sofar", F.sum("size").over(by_finish.rowsBetween(W.unboundedPreceding, W.currentRow)))
     entries = entries.join(bins.select("bin", "before"), "bin")
-    left = F.col("budget") - (F.col("sofar") + F.col("before") - F.col("size"))
-    entries = entries.withColumn("taken", F.least(F.col("size"), F.greatest(F.lit(0), F.round(left).cast("long"))))
-    none = rows.select(*key, *info, F.lit(0).cast("long").alias("taken"))
-    out = entries.select(*key, *info, F.col("taken").cast("long")).unionByName(none)
-    return out.groupBy(*key, *info).agg(F.sum("taken").cast("long").alias("taken"))
+    entries = entries.withColumn("begin", (F.col("sofar") + F.col("before") - F.col("size")).cast("long"))
+    left = F.col("budget") - F.col("begin")
+    entries = entries.withColumn("taken", F.least(F.col("size"), F.greatest(F.lit(0), F.round(left).cast("long"))).cast("long"))
+    return rows.select(*key, *info), entries.where("taken > 0").select(*key, "pass", "finish", "size", "begin", "taken")
+
+
+def mix(docs: DataFrame, size: Column | None = None, max_epochs: int = 3, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, begins: a row for each row of ``docs``.
+
+    taken is the sum over the document's passes in the mix (``mix_entries``), begins the places in the mix where they
+    start, in words from 0: the order of the mix.
+
+    Null text or ``size``: 0.  Null source: a source of its own, ranked last.  Null ids and fully repeated
+    rows are rows like others: copies are counted, numbered and shuffled apart.  Empty table: no rows.
+    Other columns tell rows apart and are ignored otherwise, whatever their names.
+    """
+    rows, entries = mix_entries(docs, size, max_epochs, **options)
+    key, info = ["k1", "k2", "copy_no"], ["doc_id", "source", "size", "source_size", "target"]
+    none = [F.lit(None).cast("int").alias("pass"), F.lit(None).cast("long").alias("begin"), F.lit(0).cast("long").alias("taken")]
+    blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in info]
+    both = rows.select(*key, *info, *none).union(entries.select(*key, *blank, "pass", "begin", "taken"))
+    of_pass = [F.max(F.when(F.col("pass") == e, F.col("begin"))).alias(f"b{e}") for e in range(max_epochs)]
+    out = both.groupBy(*key).agg(*[F.max(c).alias(c) for c in info], F.sum("taken").cast("long").alias("taken"), *of_pass)
+    return out.select(*info, "taken", F.array_compact(F.array(*[f"b{e}" for e in range(max_epochs)])).alias("begins"))

@@ -7,7 +7,7 @@ from .common import new_path, table
 
 
 def op1_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "begins")
 
 
 def op2_warc(spark, sf_dir):
@@ -36,7 +36,7 @@ def op3_gru(spark, sf_dir):
 
 
 def op4_sharding(spark, sf_dir):
-    return sharding.shard(table(spark, sf_dir, "documents")).drop("copy_no")
+    return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash(spark, sf_dir):

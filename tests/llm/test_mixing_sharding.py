@@ -70,10 +70,10 @@ def test_the_weights_and_shares_are_parameters(spark):
     assert sum(r.taken for r in got) == 10 * len(corpus()) // 2 and all(r.taken <= 10 for r in got)
 
 
-@pytest.mark.parametrize("per_bucket, n_shards", [(16, 8), (4096, 8), (50, 3)])
+@pytest.mark.parametrize("per_bucket, n_shards", [(2000, 8), (8 << 20, 8), (5000, 3)])
 def test_shards(spark, per_bucket, n_shards):
     rows = corpus()
-    got = sharding.shard(docs(spark, rows), n_shards, rows_per_bucket=per_bucket).collect()
+    got = sharding.shard(docs(spark, rows), n_shards, bucket_bytes=per_bucket).collect()
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted(
         (i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows
     )
@@ -82,14 +82,14 @@ def test_shards(spark, per_bucket, n_shards):
         slots[r.shard].append(r.slot)
     assert set(slots) == set(range(n_shards)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    again = sharding.shard(docs(spark, rows).repartition(5), n_shards, rows_per_bucket=per_bucket).collect()
+    again = sharding.shard(docs(spark, rows).repartition(5), n_shards, bucket_bytes=per_bucket).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
-    other = sharding.shard(docs(spark, rows), n_shards, seed=1, rows_per_bucket=per_bucket).collect()
+    other = sharding.shard(docs(spark, rows), n_shards, seed=1, bucket_bytes=per_bucket).collect()
     assert sorted(map(repr, got)) != sorted(map(repr, other))
 
 
 def test_shards_are_shuffled(spark):
-    got = sharding.shard(docs(spark, [(i, f"t{i}", "s") for i in range(2000)]), 4, rows_per_bucket=200).collect()
+    got = sharding.shard(docs(spark, [(i, f"t{i}", "s") for i in range(2000)]), 4, bucket_bytes=14_000).collect()
     ids = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     rising = sum(a < b for a, b in zip(ids, ids[1:])) / len(ids)
     assert 0.45 < rising < 0.55 and sorted(ids) == list(range(2000))
@@ -102,9 +102,29 @@ def test_no_rows(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    rows = [r for r in corpus() if r[0] is not None]
-    sharding.write_shards(docs(spark, rows), str(tmp_path / "out"), 3)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.doc_id, r.text or "") for r in back.collect()) == sorted((i, t or "") for i, t, _ in rows)
+    rows = [(*r, "x", 7, {"a": 1}) for r in corpus()] + [(5, "same", "a", "x", 7, None), (5, "same", "b", "x", 7, None), (5, "same", "b", "x", 7, {})]
+    rows += [(None, "plumless", "s", None, None, None), (None, "buckeroo", "s", None, None, None)]  # one crc32
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string, k1 int, m map<string,int>")
+    sharding.write_shards(df, str(tmp_path / "out"), 3, bucket_bytes=3000)
+    back = spark.read.parquet(str(tmp_path / "out")).cache()
+    assert back.columns == ["doc_id", "text", "source", "slot_", "k1", "m", "slot", "shard"]
+    assert sorted(map(repr, (tuple(r[:6]) for r in back.collect()))) == sorted(map(repr, rows))
     counts = [r["count"] for r in back.groupBy("shard").count().collect()]
     assert len(counts) == 3 and max(counts) - min(counts) <= 1
+    assert back.groupBy("shard", "slot").count().where("count > 1").isEmpty()
+
+
+def test_the_mix_is_one_order(spark):
+    rows = corpus() + [(None, "plumless", "s4"), (None, "buckeroo", "s4")]
+    df = docs(spark, rows)
+    every, entries = mixing.mix_entries(df, rows_per_bucket=16)
+    assert every.count() == len(rows)
+    place = 0
+    for e in entries.orderBy("begin").collect():
+        assert e.begin == place and 0 < e.taken <= e.size
+        place += e.size
+    finish = [e.finish for e in entries.orderBy("begin").collect()]
+    assert finish == sorted(finish)
+    got = mixing.mix(df, rows_per_bucket=16).collect()
+    assert sorted(b for r in got for b in r.begins) == sorted(e.begin for e in entries.collect())
+    assert sum(r.taken for r in got) == sum(e.taken for e in entries.collect())

@@ -58,9 +58,29 @@ def test_stages_take_odd_rows(spark):
             out = stage(spark, given, SF)
             assert out.columns == given.columns, name
             out.collect()
+        assert corpus_pipeline.encode_pieces(spark, given, SF).where("agrees").count() == given.count()
     assert language.identify(language.of_documents(odd)).count() == 3
 
 
+def test_the_mix_gives_its_amounts_for_repeated_rows(spark):
+    """Repeated rows and null ids with texts of one crc32: a row a pass, no text or column lost."""
+    from collections import Counter
+
+    rows = [(1, "w " * 20, "en", "a", 5)] * 60 + [(2, "v " * 10, "en", "b", 5), (2, "v " * 10, "de", "b", 5)] * 20
+    rows += [(None, "plumless", "en", "c", 1), (None, "buckeroo", "en", "c", 1), (3, None, "en", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _, entries = corpus_pipeline.mixing.mix_entries(docs)
+    out = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    assert len(out) == entries.where("2 * taken >= size").count()
+    words = Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    # 1602 words by weights 1, 2, 3, but c stops at 3 * 2
+    want = {"a": (1602 - 6) / 3, "b": (1602 - 6) * 2 / 3, "c": 6}
+    assert all(abs(words[s] - want[s]) <= 20 for s in want)
+    assert {r.text for r in out if r.source == "c"} == {"plumless", "buckeroo"} and {r.lang for r in out if r.source == "b"} == {"en", "de"}
+
+
 def test_against_a_plain_version(spark):
     """Brute-force near-duplicates, repeated dealing of the budget, and the library's tokens."""
     import collections
