@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import language, minhash, mixing, pieces
-from sieveline.llm.common import drop_tables, materialize, table
+from sieveline.llm.common import as_rows, drop_tables, materialize, once_each, table
 from sieveline.llm.queries import piece_model
 
 
@@ -29,23 +29,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their targets: a row for each pass that takes a document, none for those not taken.
+    """Sources in proportion to their targets: a row for each pass that takes a document, in the order of the mix.
 
-    The pass at the cut, which takes a document in part, counts as a whole one if it takes at least half.
+    The pass at the cut, which takes a document in part, is a whole row if it takes at least half and none otherwise.
+    Documents of no words are in no pass.  Null ids and sources are values of their own; each of several equal rows has
+    passes of its own.  Empty table: no rows.
     """
-    mixed = mixing.mix(docs)
-    passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).otherwise(0)
-    times = materialize(mixed.select("doc_id", "source", "digest", "size", passes.alias("passes")).where("passes > 0"), "pipeline-passes")
-    times = times.groupBy("doc_id", "source", "digest").agg(F.max("passes").alias("passes"))
-    # a row travels as one value, so its columns may have any names
-    digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    d, t = docs.select(F.struct("*").alias("row"), digest.alias("digest")).alias("d"), times.alias("t")
-    on = (
-        F.col("d.row.doc_id").eqNullSafe(F.col("t.doc_id"))
-        & F.col("d.row.source").eqNullSafe(F.col("t.source"))
-        & (F.col("d.digest") == F.col("t.digest"))
-    )
-    out = d.join(t, on).select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    _, entries = mixing.mix_entries(docs)
+    entries = materialize(entries.where("2 * taken >= size").select("k1", "k2", "begin"), "pipeline-passes")
+    repeated = entries.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    rows = once_each(as_rows(docs), materialize(repeated, "pipeline-repeated"))
+    out = rows.join(entries, ["k1", "k2"])
+    files = max(1, entries.count() // 10_000)
+    out = out.repartitionByRange(files, "begin").sortWithinPartitions("begin")
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
