@@ -102,11 +102,16 @@ def render(turns: DataFrame, kept: DataFrame, block: int = BLOCK, begin: str = "
 
 
 def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Collapse snapshots, then render what stays.
+    """conv_id, n_turns, n_copies, rendered: snapshots collapsed, then a row for each conversation that stays.
+
+    Blocks of ``block`` turn numbers are rendered apart (``render``) and joined in order, so only a conversation's own
+    text meets in one row.
 
     Repeated rows of a log (same conversation, turn, role and text) count once.  Null ids form one
     conversation; null turns sort first; null role or text equals only null.  Empty table: no rows.  Only
     conv_id, turn, role and text are read.
     """
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return render(turns, maximal_conversations(turns, block), block)
+    parts = render(turns, maximal_conversations(turns, block), block)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("part", "rendered"))), lambda p: p["rendered"])
+    return parts.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_join(ordered, "").alias("rendered"))

@@ -119,7 +119,7 @@ p AS (
   SELECT DISTINCT list_slice(turns, 1, i) AS turns
   FROM (SELECT turns, unnest(generate_series(1, n_turns - 1)) AS i FROM u)),
 kept AS (SELECT conv_id, n_turns, n_copies FROM u WHERE turns NOT IN (SELECT turns FROM p))
-SELECT k.conv_id, CAST(floor(t.turn / 1024.0) AS BIGINT) AS part, k.n_turns, k.n_copies,
+SELECT k.conv_id, k.n_turns, k.n_copies,
        string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
 FROM kept k JOIN t USING (conv_id) GROUP BY ALL
 """

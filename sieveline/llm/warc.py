@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 CHUNK = 1 << 20
 MARK = b"\r\nWARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -43,39 +45,39 @@ def cuts(payload: bytes, chunk: int) -> Iterator[bytes]:
             return
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest (base32) and payload_sha1 (hex) of every row; the digest grows by chunks of ``CHUNK`` bytes."""
+def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """record, chunk_no, data, page_id, url, payload_bytes, payload_sha1: payloads as rows of at most ``chunk`` bytes.
 
-    def run(batches):
-        for batch in batches:
-            sizes, sums, hexes = [], [], []
-            for value in batch.column(2):
-                view = value.as_buffer() if value.is_valid else pa.py_buffer(b"")
-                h = hashlib.sha1()
-                for at in range(0, view.size, CHUNK):
-                    h.update(view.slice(at, min(CHUNK, view.size - at)))
-                sizes.append(view.size)
-                sums.append(b32(h.digest()))
-                hexes.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(hexes)],
-                names=["page_id", "url", "payload_bytes", "payload_digest", "payload_sha1"],
-            )
-
-    given = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
-    return given.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, payload_sha1 string")
+    record numbers the rows of ``pages``; a record's chunks stand together in order.  No Python worker sees a payload.
+    """
+    p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
+    n = F.octet_length("html").cast("long")
+    p = p.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", n.alias("payload_bytes"), F.sha1("html").alias("payload_sha1"), "html")
+    last = F.greatest(F.ceil(F.col("payload_bytes") / chunk) - 1, F.lit(0)).cast("int")
+    p = p.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    data = F.substring("html", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data")
+    return p.select("record", "chunk_no", data, "page_id", "url", "payload_bytes", "payload_sha1")
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes, payload_sha1 (hex) of every row."""
+    html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_sha1"),
+    )
 
 
 def with_types(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds refers_to and revisit to rows with payload_bytes, payload_digest and page_id.
+    """Adds refers_to and revisit to rows with payload_bytes, payload_sha1 and page_id.
 
     Of equal payloads of at least ``min_bytes`` bytes the one with the largest page_id (then url) is the
     response.  Groups are counted before they are shuffled, so a payload that a third of the rows share costs
     one row a task; the join back meets one row a payload and its hot side can be split.
     """
-    owner = rows.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("o"))
+    owner = rows.groupBy("payload_sha1", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("o"))
     a, b = rows.alias("a"), owner.alias("b")
-    both = a.join(b, ["payload_digest", "payload_bytes"])
+    both = a.join(b, ["payload_sha1", "payload_bytes"])
     own = F.col("a.page_id").eqNullSafe(F.col("b.o.page_id")) & F.col("a.url").eqNullSafe(F.col("b.o.url"))
     revisit = (F.col("payload_bytes") >= min_bytes) & ~own
     return both.select("a.*", revisit.alias("revisit"), F.when(revisit, F.col("b.o.page_id")).alias("refers_to"))
@@ -84,39 +86,41 @@ def with_types(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, chunk: int = CHUNK) -> None:
     """Write a WARC record for each row of ``pages`` as gzipped archives in ``path``.
 
-    A record is one or more rows (record id, chunk number): the first chunk is the response, later ones its
-    continuations, each with the digest of its own block and the running digest of the payload up to it, so
-    neither side ever holds more than a chunk besides the row itself.  Revisits hold a header only.  Rows
-    go out through Spark's text writer (any file system), records being parted by the blank lines that the
-    format asks for.
+    The chunked record table (``chunk_rows``) is made first, so that nothing from there on, shuffles included, holds
+    more than a chunk; chunks meet their record's type and are put in order again.  A record is one or more WARC
+    records: the first chunk is the response, later ones its continuations, each with the digest of its own block and
+    the running digest of the payload up to it.  Revisits hold a header only.  Rows go out through Spark's text writer
+    (any file system), records being parted by the blank lines that the format asks for.
 
     Null html: an empty payload.  Null url: an empty address.  Null page_id: a record whose id says null.
     Repeated rows of the response are written as responses too.  Empty table: no record.
     """
-    k = with_types(digests(pages), min_bytes).distinct()
-    p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
-    p = p.withColumn("_sha", F.sha1(F.coalesce("html", F.lit(b""))))
-    on = [p["page_id"].eqNullSafe(k["page_id"]), p["url"].eqNullSafe(k["url"]), p["_sha"] == k["payload_sha1"]]
-    rows = p.join(k, on).select(
-        p["page_id"], p["url"], F.when(~k["revisit"], p["html"]).alias("html"), "payload_bytes", "payload_digest", "revisit", "refers_to"
-    )
+    k = with_types(payloads(pages), min_bytes).distinct().alias("k")
+    c = chunk_rows(pages, chunk).alias("c")
+    on = F.col("c.page_id").eqNullSafe(F.col("k.page_id")) & F.col("c.url").eqNullSafe(F.col("k.url")) & (F.col("c.payload_sha1") == F.col("k.payload_sha1"))
+    rows = c.join(k, on).where("not revisit or chunk_no = 0").select(
+        "record", "chunk_no", F.when(~F.col("revisit"), F.col("data")).alias("data"), F.col("c.page_id").cast("long").alias("page_id"), "c.url",
+        "c.payload_bytes", "c.payload_sha1", "revisit", "refers_to",
+    ).sortWithinPartitions("record", "chunk_no")
 
     def run(batches):
+        writer = RecordWriter(chunk)
         for batch in batches:
             out: list[bytes] = []
             size = 0
             for i in range(batch.num_rows):
-                page, url, html, n, digest, revisit, refers = (batch.column(c)[i].as_py() for c in range(7))
-                for rec in records(page, url, html or b"", n, digest, revisit, refers, chunk):
+                for rec in writer.chunk(*(batch.column(c)[i].as_py() for c in range(9))):
                     out.append(rec)
                     size += len(rec)
-                    if size >= 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                        out, size = [], 0
+                if size >= 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        if not writer.done:
+            raise ValueError("the last chunk of a record is missing")
 
-    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = rows.mapInArrow(in_worker(run, "warc"), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -124,34 +128,58 @@ def _name(page) -> str:
     return f"<urn:page:{'null' if page is None else page}>"
 
 
-def records(page, url, html: bytes, n: int, digest: str, revisit: bool, refers, chunk: int) -> Iterator[bytes]:
-    """The chunks of one record, each a WARC record without the blank lines after it."""
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
-    common = [f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}"]
-    if revisit:
-        fields = ["WARC-Type: revisit", f"WARC-Record-ID: {_name(page)}", *common, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                  f"WARC-Refers-To: {_name(refers)}", f"WARC-Payload-Digest: sha1:{digest}"]
-        yield _record(fields, head)
-        return
-    running, pieces = hashlib.sha1(), cuts(html, chunk)
-    piece, number = next(pieces), 1
-    while True:
-        following = next(pieces, None)
-        running.update(piece)
-        if number == 1:
-            fields = ["WARC-Type: response", f"WARC-Record-ID: {_name(page)}", *common, f"WARC-Payload-Digest: sha1:{digest}"]
-        else:
-            fields = ["WARC-Type: continuation", f"WARC-Record-ID: {_name(page)[:-1]}:{number}>", *common, f"WARC-Segment-Origin-ID: {_name(page)}"]
-        if number > 1 or following is not None:
-            fields.append(f"WARC-Segment-Number: {number}")
-        if number > 1 and following is None:
-            fields.append(f"WARC-Segment-Total-Length: {len(head) + n}")
-        fields.append(f"X-Running-Payload-Digest: sha1:{b32(running.copy().digest())}")
-        yield _record(fields, head + piece if number == 1 else piece)
-        if following is None:
+class RecordWriter:
+    """Turns a record's chunks, in order, into WARC records without the blank lines after them."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.done = True
+
+    def chunk(self, record, chunk_no, data, page, url, n: int, sha: str, revisit: bool, refers) -> Iterator[bytes]:
+        if chunk_no == 0:
+            if not self.done:
+                raise ValueError("the last chunk of a record is missing")
+            self.record, self.next, self.number, self.seen, self.tail, self.running = record, 0, 0, 0, b"", hashlib.sha1()
+            self.done = False
+        if (record, chunk_no) != (self.record, self.next):
+            raise ValueError(f"chunk {chunk_no} of a record is out of place")
+        self.next += 1
+        uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+        common, digest = [f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}"], b32(bytes.fromhex(sha))
+        if revisit:
+            fields = ["WARC-Type: revisit", f"WARC-Record-ID: {_name(page)}", *common, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                      f"WARC-Refers-To: {_name(refers)}", f"WARC-Payload-Digest: sha1:{digest}"]
+            self.done = True
+            yield _record(fields, head)
             return
-        piece, number = following, number + 1
+        data = self.tail + data
+        whole = self.seen + len(data) == n
+        # what begins a code point at the end waits for the next chunk
+        end = len(data)
+        if not whole:
+            start = next((i for i in range(end - 1, max(-1, end - 5), -1) if data[i] & 0xC0 != 0x80), end)
+            if start < end and data[start] >= 0xC0 and end - start < 2 + (data[start] >= 0xE0) + (data[start] >= 0xF0):
+                end = start
+        data, self.tail = data[:end], data[end:]
+        for piece in cuts(data, self.most) if data or n == 0 else ():
+            self.number += 1
+            self.seen += len(piece)
+            self.running.update(piece)
+            last = self.seen == n
+            if self.number == 1:
+                fields = ["WARC-Type: response", f"WARC-Record-ID: {_name(page)}", *common, f"WARC-Payload-Digest: sha1:{digest}"]
+            else:
+                fields = ["WARC-Type: continuation", f"WARC-Record-ID: {_name(page)[:-1]}:{self.number}>", *common, f"WARC-Segment-Origin-ID: {_name(page)}"]
+            if self.number > 1 or not last:
+                fields.append(f"WARC-Segment-Number: {self.number}")
+            if self.number > 1 and last:
+                fields.append(f"WARC-Segment-Total-Length: {len(head) + n}")
+            fields.append(f"X-Running-Payload-Digest: sha1:{b32(self.running.digest())}")
+            yield _record(fields, head + piece if self.number == 1 else piece)
+        self.done = self.seen == n
+        if self.done and b32(self.running.digest()) != digest:
+            raise ValueError(f"the payload of {_name(page)} differs from its digest")
 
 
 def _record(fields: list[str], block: bytes) -> bytes:
@@ -220,4 +248,4 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"the end of {open_[0]} is missing")
 
     pieces = spark.read.option("lineSep", MARK.decode()).text(path)
-    return pieces.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, chunks int")
+    return pieces.select(F.col("value").cast("binary").alias("value")).mapInArrow(in_worker(run, "warc"), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, chunks int")

@@ -37,10 +37,9 @@ CONVS = [
 
 
 def rendered(df):
-    out = {}
-    for r in sorted(df.collect(), key=lambda r: (r.conv_id or 0, r.part)):
-        out[r.conv_id] = out.get(r.conv_id, "") + r.rendered
-    return out
+    rows = df.collect()
+    assert len({r.conv_id for r in rows}) == len(rows)
+    return {r.conv_id: r.rendered for r in rows}
 
 
 @pytest.mark.parametrize("block", [1024, 2, 1])
@@ -120,6 +119,22 @@ def test_damage_is_found(spark, tmp_path):
         warc.read_archive(spark, str(tmp_path / "bad")).collect()
 
 
+def test_chunks_are_rows(spark):
+    rows = warc.chunk_rows(pages(spark, HTML), 1 << 16).collect()
+    held = {}
+    for r in rows:
+        assert r.chunk_no == len(held.setdefault((r.record, r.page_id), [])) and len(r.data) <= 1 << 16
+        held[r.record, r.page_id].append(bytes(r.data))
+    assert sorted(b"".join(x) for x in held.values()) == sorted((h or "").encode() for _, _, h in HTML)
+
+
+def test_repeated_rows(spark, tmp_path):
+    rows = [(1, "u", "x" * 200)] * 3 + [(2, "u", "x" * 200)] * 2 + [(None, None, None)] * 2
+    warc.write_archive(pages(spark, rows).coalesce(1), str(tmp_path / "w"), 0, 64)
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 200, "revisit", 2)] * 3 + [(2, 200, "response", None)] * 2 + [(None, 0, "response", None)] * 2, key=repr)
+
+
 def test_no_page(spark, tmp_path):
     warc.write_archive(pages(spark, []), str(tmp_path / "w"))
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
