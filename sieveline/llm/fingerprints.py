@@ -152,23 +152,77 @@ def likeness(a: Column, b: Column, diff: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - diff).cast("double") / (both + diff).cast("double"))
 
 
+def _constants(values: list, kind: str = "bigint") -> Column:
+    """An array literal, made in one call."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _at_most(values: list[int], x: Column) -> Column:
+    """Place of the largest of ascending ``values`` that is not above x, by halving; 0 below all."""
+    given = _constants(values)
+    steps = _constants([1 << i for i in reversed(range(len(values).bit_length()))], "int")
+
+    def halve(at: Column, step: Column) -> Column:
+        further = F.least(at + step, F.lit(len(values) - 1))
+        return F.when(F.get(given, further) <= x, further).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
+def even_ranges(docs: DataFrame, rows_per_bucket: int, most: int = 8192) -> tuple[Column, Column]:
+    """Number of a row's range of (doc_id, th), ascending; ranges hold about ``rows_per_bucket`` rows each.
+
+    Up to ``most`` quantiles of the ids bound segments; an id that spans several of them, and null ids, which come
+    first, are cut by their text hashes th.  Where that many segments are too few, each is cut into ranges of equal
+    width.  Only the quantiles reach the driver.  The number is an expression over doc_id, th
+    and _i, the second expression returned: a row's segment.
+    """
+    count = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    segments = min(most, buckets_for(count["ids"], rows_per_bucket))
+    subs = buckets_for(count["ids"], rows_per_bucket * segments)
+    by_hash = (F.shiftright("th", 33) + (1 << 30)) / float(1 << 31)  # from 0 to 1, in the hashes' order
+    blank = buckets_for(count["n"] - count["ids"], rows_per_bucket)
+    of_null = F.floor(by_hash * blank).cast("long") - blank
+    if not count["ids"]:
+        return of_null, F.lit(0)
+    at = [i / segments for i in range(segments + 1)]
+    found = docs.agg(F.percentile_approx("doc_id", at, 8 * segments).alias("q"), F.min("doc_id").alias("lo")).first()
+    values: list[int] = []
+    hot: list[int] = []
+    for q in [found["lo"], *found["q"][:-1]]:
+        if values and q == values[-1]:
+            hot[-1] += 1
+        elif not values or q > values[-1]:
+            values.append(q)
+            hot.append(-1 if not values[1:] else 0)  # the least id stands in the list twice
+    hot = [max(h, 0) * subs for h in hot]
+    base = [0]
+    for h in hot:
+        base.append(base[-1] + h + subs)
+    widths = [float(max(1, b - a)) for a, b in zip(values, [*values[1:], found["q"][-1] + 1])]
+    i = _at_most(values, F.col("doc_id"))
+    of = lambda xs, kind="bigint": F.get(_constants(xs, kind), F.col("_i"))
+    inside = F.least(F.floor((F.col("doc_id").cast("double") - of(values, "double")) / of(widths, "double") * subs).cast("long"), F.lit(subs - 1))
+    cut = F.when((F.col("doc_id") == of(values)) & (of(hot) > 0), F.floor(by_hash * of(hot)).cast("long")).otherwise(of(hot) + inside)
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise(of(base[:-1]) + cut), i
+
+
 def next_document(docs: DataFrame, rows_per_bucket: int = 1024) -> DataFrame:
     """bucket, rid, doc_id, text, keys, n_chars, next_text, next_keys: documents beside their next by descending doc_id.
 
     keys are a text's paragraph digests, rid numbers the rows of a bucket.
 
-    Ids are cut into ranges of equal width; the first document of a range also goes, as a ghost, to the range
-    before it, the very first one to the last range.  So texts are shuffled once and a neighbour is found
-    within its range.  The table of first ids has one row a range; it is broadcast only where its number of
-    rows, known here, is at most 100,000.
+    Ids are cut into ranges of about equal numbers of rows (``even_ranges``); the first document of a range also goes,
+    as a ghost, to the range before it, the very first one to the last range.  So texts are shuffled once and a
+    neighbour is found within its range.  The table of first ids has one row a range; it is broadcast only where its
+    number of rows is at most 100,000.
     """
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    n_buckets = buckets_for(ids["n"], rows_per_bucket)
-    lo = ids["lo"] or 0
-    width = max(1, -(-((ids["hi"] or 0) - lo + 1) // n_buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / width).cast("long"), F.lit(-1))
-    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(lo - 1).cast("decimal(20,0)"))
-    docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), bucket.alias("b"), key.alias("key"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    bucket, i = even_ranges(docs, rows_per_bucket)
+    docs = docs.withColumn("_i", i).withColumn("b", bucket).drop("_i")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th").alias("key")
+    docs = docs.select("text", "b", key)
     firsts = docs.groupBy("b").agg(F.max("key").alias("top"))
     # the next range above that holds a document: within groups of ranges, then between groups, then around the end
     firsts = firsts.withColumn("g", F.floor(F.col("b") / 1024))
@@ -178,23 +232,25 @@ def next_document(docs: DataFrame, rows_per_bucket: int = 1024) -> DataFrame:
         "g", F.coalesce(F.lead("lowest").over(every.orderBy("g")), F.min("lowest").over(every)).alias("above")
     )
     up = F.lead("b").over(W.partitionBy("g").orderBy("b"))
-    firsts = firsts.withColumn("up", up).join(groups, "g").select(F.col("top").alias("key"), F.coalesce("up", "above").alias("ghost_of"))
+    firsts = firsts.withColumn("up", up).join(groups, "g").select(F.col("b").alias("fb"), F.col("top").alias("top"), F.coalesce("up", "above").alias("ghost_of"))
     firsts = materialize(firsts, "fingerprint-firsts")
-    if n_buckets <= 100_000:
+    if firsts.count() <= 100_000:
         firsts = F.broadcast(firsts)
-    with_ghosts = docs.join(firsts, "key", "left").withColumn(
-        "at",
+    ghost = F.when(F.col("key") == F.col("top"), F.col("ghost_of"))
+    dealt = docs.join(firsts, F.col("b") == F.col("fb")).select(
         F.explode(
-            F.when(F.col("ghost_of").isNull(), F.array(F.struct(F.col("b").alias("b"), F.lit(False).alias("ghost")))).otherwise(
+            F.array_compact(
                 F.array(
-                    F.struct(F.col("b").alias("b"), F.lit(False).alias("ghost")),
-                    F.struct(F.col("ghost_of").alias("b"), F.lit(True).alias("ghost")),
+                    F.struct(F.col("b").alias("bucket"), F.lit(False).alias("ghost")),
+                    F.when(ghost.isNotNull(), F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost"))),
                 )
             )
-        ),
+        ).alias("at"),
+        "key",
+        "text",
     )
-    dealt = with_ghosts.select(F.col("at.b").alias("bucket"), F.col("at.ghost").alias("ghost"), "key", "text").repartition("bucket")
-    order = W.partitionBy("bucket").orderBy("ghost", F.col("key").desc(), F.xxhash64("text").desc())
+    dealt = dealt.select("at.bucket", "at.ghost", "key", "text").repartition("bucket")
+    order = W.partitionBy("bucket").orderBy("ghost", F.col("key").desc())
     dealt = dealt.withColumn("keys", paragraphs(F.col("text")))
     out = dealt.select(
         "*",
@@ -203,8 +259,7 @@ def next_document(docs: DataFrame, rows_per_bucket: int = 1024) -> DataFrame:
         F.lead("keys").over(order).alias("next_keys"),
     ).where(~F.col("ghost"))
     n_chars = F.length("text").cast("long").alias("n_chars")
-    doc_id = F.when(F.col("key") >= lo, F.col("key").cast("long")).alias("doc_id")
-    return out.select("bucket", "rid", doc_id, "text", "keys", n_chars, "next_text", "next_keys")
+    return out.select("bucket", "rid", F.col("key.doc_id").alias("doc_id"), "text", "keys", n_chars, "next_text", "next_keys")
 
 
 def peeled(pairs: DataFrame, passes: int = 6) -> DataFrame:

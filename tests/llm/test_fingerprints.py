@@ -76,3 +76,19 @@ def test_large_sketches(spark):
 def test_little(spark, rows):
     got = fp.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(0 <= r.near_next <= 1 and r.n_chars is not None for r in got)
+
+
+def test_ranges_are_even(spark):
+    far = [(i, f"text {i % 7}") for i in range(5000)] + [(10**12, "far"), (-(2**63), "low"), (2**63 - 1, "high")]
+    hot = [(5, f"one id, text {i}") for i in range(3000)] + [(i, "t") for i in range(3000)] + [(None, f"null {i}") for i in range(3000)]
+    for rows in (far, hot):
+        d = fp.next_document(spark.createDataFrame(rows, "doc_id long, text string"), 500)
+        got = d.select("bucket", "doc_id", "text", "next_text").collect()
+        held = {}
+        for r in got:
+            held[r.bucket] = held.get(r.bucket, 0) + 1
+        assert len(got) == len(rows) and max(held.values()) <= 1000
+        # one cycle through all texts
+        import collections
+
+        assert collections.Counter(r.text for r in got) == collections.Counter(r.next_text for r in got)
