@@ -122,6 +122,25 @@ def inverted_lists(reps: DataFrame, threshold: float, slack: float, k: int) -> D
     return per.select(F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("x"), "doc_id", "n").select("x.value", "doc_id", "n")
 
 
+def salted(lists: DataFrame, most: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """``lists`` with a salt, and (value, parts; written) of the lists of over ``most`` documents, which are cut in ``parts`` by it.
+
+    So whatever meets a list by (value, salt) is dealt over many tasks.  These values are at most one in ``most`` rows;
+    they are broadcast where they are at most 200,000 (4 MB).
+    """
+    held = lists.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    long_ = materialize(held.select("value", F.ceil(F.col("n") / most).cast("int").alias("parts")), "minhash-long")
+    known = F.broadcast(long_) if long_.count() <= 200_000 else long_
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("parts"))).cast("int")
+    return lists.join(known, "value", "left").withColumn("salt", salt).drop("parts"), known
+
+
+def _for_salts(of_value: DataFrame, long_: DataFrame) -> DataFrame:
+    """Rows of one a value, once for each part of its list."""
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt")
+    return of_value.join(long_, "value", "left").select(*of_value.columns, salts)
+
+
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, slack: float, k: int) -> DataFrame:
     """Pairs (a, b) whose union sketch leaves a similarity of ``threshold`` possible; exact if both sketches are whole sets."""
     sk = reps.select("doc_id", "sketch", F.col("n_shingles").alias("n"))
@@ -227,9 +246,10 @@ def near_duplicates(
     num: int = 80,
     den: int = 100,
     k: int = 64,
-    slack: float = 0.2,
+    slack: float = 0.25,
     star_rounds: int = 2,
     short_list: int = 16,
+    list_part: int = 2048,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``.
 
@@ -247,7 +267,7 @@ def near_duplicates(
        component need no comparison: they are linked already.
 
     Nothing is capped or dropped.  A link at exactly the threshold passes the sketch filter with probability
-    1 - 1e-5 (k = 64, slack 0.2), higher ones nearly always; sets of at most k * threshold shingles exactly.
+    1 - 5e-6 or more (k = 64, slack 0.25: binomial tails 4.2e-6 at 0.8, 6.3e-7 at 0.85), higher ones nearly always; sets of at most k * threshold shingles exactly.
 
     Null or empty text: an empty set, linked with nothing.  Null ids link with nothing (component null).
     Rows that repeat an id are one document if their texts are equal; ids are expected to be unique otherwise.
@@ -262,7 +282,8 @@ def near_duplicates(
     classes = materialize(classes, "minhash-classes")
     reps = d.join(classes.select(F.col("rep").alias("doc_id"), "g1", "g2"), ["doc_id", "g1", "g2"], "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "minhash-reps")
-    lists = materialize(inverted_lists(reps, threshold, slack, k), "minhash-lists")
+    lists, long_values = salted(materialize(inverted_lists(reps, threshold, slack, k), "minhash-lists"), list_part)
+    lists = materialize(lists, "minhash-salted")
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -270,15 +291,16 @@ def near_duplicates(
     sizes_fit = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)
     for r in range(star_rounds + 1):
         c = comps.select(F.col("node").alias("doc_id"), "component")
-        m = lists.join(c, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        m = lists.join(c, "doc_id", "left").select("value", "salt", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         open_ = m.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)), "doc_id", "n", "c")).alias("m"), F.count("*").alias("held"))
         open_ = open_.where("lo < hi")
         if r < star_rounds:
-            both = m.join(open_.select("value", "m.doc_id", "m.n", "m.c").toDF("value", "a", "na", "ca"), "value")
+            center = open_.select("value", F.col("m.doc_id").alias("a"), F.col("m.n").alias("na"), F.col("m.c").alias("ca"))
+            both = m.join(_for_salts(center, long_values), ["value", "salt"])
             pairs = both.select("a", "na", "ca", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
             pairs = pairs.where("ca <> cb")
         else:
-            left = materialize(m.join(open_.select("value", "held"), "value"), "minhash-open")
+            left = materialize(m.join(_for_salts(open_.select("value", "held"), long_values), ["value", "salt"]), "minhash-open")
             long_ = left.where(F.col("held") > short_list)
             links = links.union(materialize(compared_in_blocks(long_, docs, width, num, den), "minhash-links"))
             left = left.where(F.col("held") <= short_list)

@@ -59,7 +59,7 @@ def corpus():
 
 
 @pytest.mark.parametrize("width, num, den, options", [
-    (3, 85, 100, {}), (5, 80, 100, {}), (3, 85, 100, {"star_rounds": 0, "short_list": 2}), (3, 85, 100, {"star_rounds": 1, "short_list": 10_000})])
+    (3, 85, 100, {}), (5, 80, 100, {}), (3, 85, 100, {"star_rounds": 0, "short_list": 2}), (3, 85, 100, {"star_rounds": 1, "short_list": 10_000, "list_part": 3})])
 def test_components_equal_brute_force(spark, width, num, den, options):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "clash", "clash") for i, t in rows], SCHEMA)
