@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import re
@@ -49,7 +50,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type (BPE) SentencePiece vocabulary: encode, decode, and caches of bounded size."""
 
-    def __init__(self, path: str, end_id: int = 2, cache_size: int = 350_000):
+    def __init__(self, path: str, end_id: int = 2, cache_size: int = 700_000):
         self.path, self.end_id, self.cache_size = path, end_id, cache_size
         blob = open(path, "rb").read()  # noqa: SIM115
         self.pieces: list[str] = []
@@ -85,6 +86,7 @@ class PieceModel:
         lines = any("\n" in p for p in self.ids)
         # a text falls into parts that no piece can join: before each run of space marks, around line feeds
         self.part = None if inner or lines else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        self.line_feed = np.array(self.part_ids("\n"), np.int32).tobytes()
         self.cache = _Cache(self)
 
     def _tables(self) -> None:
@@ -178,7 +180,7 @@ class PieceModel:
         pairs are looked up; a part is done when none of its pairs forms a piece.  None: a character that is
         no piece by itself is left, ``part_ids`` spells it in bytes.
         """
-        n, width = len(parts), max(map(len, parts))
+        n, width = len(parts), max(1, *map(len, parts))
         size = np.fromiter(map(len, parts), np.int64, n)
         points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         s = np.zeros((n, width + 1), np.int32)  # a last column of nothing moves in as rows close up
@@ -316,28 +318,28 @@ class _Cache:
         """Ids of all ``keys``: those not held are encoded together, by agendas in rows where they are short."""
         if len(self.young) >= self.model.cache_size:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young, line_feed = self.young, self.model.line_feed
         out = dict(zip(keys, map(young.get, keys)))
         new = [k for k, found in out.items() if found is None]
-        short: tuple[list[str], ...] = ([], [], [])
-        for k, found in zip(new, map(old.get, new)):
-            if found is None:
-                if len(k) < self.ROW and k[0] != "\n":
-                    short[0 if len(k) < 8 else 1 if len(k) < 16 else 2].append(k)
-                    continue
-                found = self.model.key_ids(k)
-            out[k] = found
+        if self.old:
+            moved = {k: found for k, found in zip(new, map(self.old.get, new)) if found is not None}
+            out.update(moved)
+            young.update(moved)
+            new = [k for k in new if k not in moved]
+        new.sort(key=len)  # so that rows of a block are of like length
+        short = bisect.bisect_left(new, self.ROW, key=len)
+        for at in range(0, short, 4096):
+            some = new[at : min(at + 4096, short)]
+            parts = [SPACE + k if (c := k[0]) != SPACE and c != "\n" else k if c == SPACE else k[1:] for k in some]
+            coded = self.model.agenda_rows(parts)
+            coded = [self.model.key_ids(k) if ids is None else ids if k[0] != "\n" else line_feed + ids for k, ids in zip(some, coded)]
+            more = dict(zip(some, coded))
+            out.update(more)
+            young.update(more)
+        for k in new[short:]:
+            out[k] = found = self.model.key_ids(k)
             if len(k) <= self.LONG:
                 young[k] = found
-        for same in short:
-            for at in range(0, len(same), 4096):
-                some = same[at : at + 4096]
-                coded = self.model.agenda_rows([k if k[0] == SPACE else SPACE + k for k in some])
-                if None in coded:
-                    coded = [self.model.key_ids(k) if ids is None else ids for k, ids in zip(some, coded)]
-                more = dict(zip(some, coded))
-                out.update(more)
-                young.update(more)
         return out
 
 
@@ -355,7 +357,7 @@ def release() -> None:
     _models.clear()
 
 
-def bounded(batch: pa.RecordBatch, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows, and ``size`` bytes of text (column 1) but for single longer ones."""
     lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
@@ -412,14 +414,14 @@ def coded_batches(batches: Iterator[pa.RecordBatch], model_path: str, check: boo
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees", *["ids"] * with_ids])
 
 
-def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids: bool = False, cache_size: int = 350_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids: bool = False, cache_size: int = 700_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees (and ids where asked): a row a document.
 
     Every text is encoded by the agenda, with an end id only, and its ids are decoded again.  With ``check`` the
     sentencepiece library encodes every whole text too, a batch at a time, and decodes its own ids; where either
     differs from ours the row has the library's, and ``agrees`` is false.
-    ``model_path`` must exist on every worker.  Memory: a batch of up to 2 MB or one longer text, and a
-    cache of bounded size (two generations of ``cache_size`` parts and a batch's, about 220 bytes each).
+    ``model_path`` must exist on every worker.  Memory: a batch of up to 4 MB or one longer text, and a
+    cache of bounded size (two generations of ``cache_size`` parts and a batch's, about 200 bytes each).
 
     Null text is empty: the end id alone, decoded to an empty text.  Null ids and repeated rows stay as they
     are.  Empty table: no rows.  Only doc_id and text are read.
