@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,13 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+#: By a word's first byte: its letter, other alphabets, digits, the rest; by its last one whether it is a letter or digit.
+_FIRST = [2 * (b - 97 if 97 <= b <= 122 else 26 if b >= 128 else 27 if 48 <= b <= 57 else 28) for b in range(256)]
+_LAST = [int(b >= 128 or 97 <= b <= 122 or 48 <= b <= 57) for b in range(256)]
+
+
 def kind(word: bytes) -> int:
-    first = word[0]
-    i = first - 97 if 97 <= first <= 122 else 26 if first >= 128 else 27 if 48 <= first <= 57 else 28
-    last = word[-1]
-    return 2 * i + (last >= 128 or 97 <= last <= 122 or 48 <= last <= 57)
+    return _FIRST[word[0]] + _LAST[word[-1]]
 
 
 def word_key(word: bytes) -> int:
@@ -367,8 +370,13 @@ def scored(net: Network, docs: Iterator[tuple], n_lanes: int = 256, steps: int =
                 sums[k] = 0.0
 
 
-def train_on(net: Network, docs: Iterator[tuple], adam: dict, rate: float, n_lanes: int = 128, steps: int = 32) -> int:
-    """Adam steps on windows; those with few tokens left are gathered until they have half a full one's."""
+def train_on(net: Network, docs: Iterator[tuple], adam: dict, rate: float, n_lanes: int = 256, steps: int = 32, longest: int = 1024) -> int:
+    """Adam steps on windows; those with few tokens left are gathered until they have half a full one's.
+
+    Texts of over ``longest`` tokens are learned in pieces of so many, each from a fresh state, so that a long one does
+    not leave the other lanes idle.
+    """
+    docs = ((d[-1][i : i + longest],) for d in docs for i in range(0, len(d[-1]), longest))
     h = np.zeros((n_lanes, STATE), np.float32)
     seen = held = 0
     grads = None
@@ -534,7 +542,12 @@ def score(docs: DataFrame, shares: tuple[int, ...] = SHARES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.unpack(sent.value)
-        docs = ((batch.column(0)[i].as_py(), np.frombuffer(x.as_buffer(), np.int16)) for batch in batches for i, x in enumerate(batch.column(1)))
+
+        def longest_first():  # of each batch, so that no long text is left alone at the end
+            for batch in batches:
+                for i in np.argsort(-pc.binary_length(batch.column(1)).to_numpy(), kind="stable").tolist():
+                    yield batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_buffer(), np.int16)
+
         ended: list[tuple[int, float]] = []
 
         def flush() -> pa.RecordBatch:
@@ -542,7 +555,7 @@ def score(docs: DataFrame, shares: tuple[int, ...] = SHARES) -> DataFrame:
             ended.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(logp, pa.float64())], names=["row", "model"])
 
-        for doc, logp in scored(own, docs):
+        for doc, logp in scored(own, longest_first()):
             ended.append((doc[0], logp / math.log(10)))
             if len(ended) >= 10_000:
                 yield flush()
