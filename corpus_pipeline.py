@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row of the mix."""
-    return pieces.encode_documents(docs, piece_model(), cache_size=100_000)  # workers also hold what earlier stages left
+    return pieces.encode_documents(docs, piece_model(), cache_size=350_000)  # workers also hold what earlier stages left
 
 
 STAGES = [
