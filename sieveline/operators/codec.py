@@ -79,6 +79,7 @@ class Coded:
     witness: DataFrame
     raw: DataFrame
     bits: int | None = None  # of all filters together
+    n_coded: int | None = None
 
     def summary(self) -> DataFrame:
         """stream_id, n, ones, p, k, l, witness_len, ratio of bits after to bits before; headers do not count."""
@@ -108,16 +109,18 @@ def compress(bits: DataFrame, variant: str = "stream", plan_: DataFrame | None =
     for coding and decoding.
     """
     plan_ = (plan(density(bits), variant) if plan_ is None else plan_).persist()
-    total = plan_.agg(F.sum("l")).first()[0] or 0
+    found = plan_.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("l"), F.count("*").alias("all"), F.count_if("coded").alias("coded")).first()
+    total, n_coded = found["l"], found["coded"]
     f = _as_filters(plan_)
     coded = plan_.select("stream_id", "coded")
-    known = bits.join(F.broadcast(coded) if total <= filters.BROADCAST_BITS else coded, "stream_id")
+    # a row a stream, coded or not
+    known = bits.join(F.broadcast(coded) if found["all"] <= filters.BROADCAST_FILTERS else coded, "stream_id")
     items = known.where("coded").select(F.col("stream_id").alias("filter_id"), F.col("pos").cast("string").alias("item"), "pos", "bit")
     words = filters.build(items.where("bit = 1").select("filter_id", "item"), f, "rational")
-    passed = filters.probe(items, f, words, "rational", total).where("passes")
+    passed = filters.probe(items, f, words, "rational", total, n_coded).where("passes")
     witness = _ranked(passed.select(F.col("filter_id").alias("stream_id"), "pos", "bit")).select("stream_id", "rank", "bit")
     raw = known.where("not coded").select("stream_id", "pos", "bit")
-    return Coded(plan_, words, witness, raw, total)
+    return Coded(plan_, words, witness, raw, total, n_coded)
 
 
 def decompress(coded: Coded) -> DataFrame:
@@ -127,7 +130,7 @@ def decompress(coded: Coded) -> DataFrame:
     )
     pos = starts.select("filter_id", F.explode(F.sequence("start", F.least(F.col("n"), F.col("start") + BLOCK) - 1)).alias("pos"))
     items = pos.withColumn("item", F.col("pos").cast("string"))
-    probed = filters.probe(items, _as_filters(coded.plan), coded.words, "rational", coded.bits)
+    probed = filters.probe(items, _as_filters(coded.plan), coded.words, "rational", coded.bits, coded.n_coded)
     probed = probed.select(F.col("filter_id").alias("stream_id"), "pos", "passes")
     found = _ranked(probed.where("passes").select("stream_id", "pos")).join(coded.witness, ["stream_id", "rank"], "left")
     off = probed.where("not passes").select("stream_id", "pos", F.lit(0).cast("tinyint").alias("bit"))

@@ -78,12 +78,17 @@ def apply_difference(base: DataFrame, diffs: DataFrame) -> DataFrame:
     A frame whose number of changed values does not fit its mask stays as it is.
     """
     fits = F.size("changed") == F.size(F.filter("mask", lambda m: m)) * F.col("channels")
-    new = diffs.where(fits).select("video_id", "frame_idx", F.explode("changed").alias("x")).select("video_id", "frame_idx", "x.at", F.col("x.v").alias("new"))
-    rows = base.select("video_id", "frame_idx", F.posexplode("pixels").alias("at", "v"))
-    out = rows.join(new, ["video_id", "frame_idx", "at"], "left").withColumn("v", F.coalesce("new", "v"))
-    ordered = F.sort_array(F.collect_list(F.struct("at", "v")))["v"]
-    shape = base.drop("pixels")
-    return out.groupBy("video_id", "frame_idx").agg(ordered.alias("pixels")).join(shape, ["video_id", "frame_idx"])
+    new = diffs.where(fits).select("video_id", "frame_idx", "changed")
+    both = base.join(new, ["video_id", "frame_idx"], "left")
+    value = lambda at, late, v: F.struct(at.alias("at"), F.lit(late).alias("late"), v.cast("int").alias("v"))
+    old = F.transform("pixels", lambda v, at: value(at, 0, v))
+    late = F.transform("changed", lambda x: value(x["at"], 1, x["v"]))
+    # of the old and the changed value of a place the last one in order stays; no row a value
+    merged = F.transform(
+        F.array(F.array_sort(F.concat(old, late))),
+        lambda all_: F.transform(F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["at"] != x["at"], F.lit(True))), lambda x: x["v"]),
+    )[0]
+    return both.withColumn("pixels", F.when(F.col("changed").isNull(), F.col("pixels")).otherwise(merged)).drop("changed").select(base.columns)
 
 
 def replay(first: DataFrame, diffs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..plans.config import CODEC_SEEDS, FilterSpec
 
 #: Bits of all filters together up to which their words are packed into arrays and broadcast: 8 MB.
 BROADCAST_BITS = 1 << 26
+BROADCAST_FILTERS = 100_000
 
 PARAMS = (
     "filter_id string, kind string, m long, k double, floor_k int, p_activation double, bound long, s1 long, s2 long, sa long"
@@ -105,18 +106,19 @@ def _has(idx: Column) -> Column:
 
 
 def probe(
-    items: DataFrame, filters: DataFrame, words: DataFrame, kind: str | None = None, bits: int | None = None
+    items: DataFrame, filters: DataFrame, words: DataFrame, kind: str | None = None, bits: int | None = None, n_filters: int | None = None
 ) -> DataFrame:
     """``items`` (filter_id, item, ...) with ``passes``: whether the filter of the row may hold the item.
 
-    ``bits`` is the number of bits of all filters together; null: it is summed first.  Up to ``BROADCAST_BITS``
-    the words travel as packed arrays in one broadcast and items are not shuffled; beyond it items are
-    numbered, their indices joined with the words, and the bits joined again by ``bool_and``.
+    ``bits`` is the number of bits of all filters together and ``n_filters`` their number; null: found first.  Up to
+    ``BROADCAST_BITS`` bits (8 MB) and ``BROADCAST_FILTERS`` filters (about 10 MB of parameters) the words travel as packed
+    arrays in one broadcast and items are not shuffled; beyond either items are numbered, their indices joined with the words, and the bits joined again by ``bool_and``.
     A filter without hash functions for an item lets it pass.
     """
-    if bits is None:
-        bits = filters.agg(F.sum("m")).first()[0] or 0
-    if bits <= BROADCAST_BITS:
+    if bits is None or n_filters is None:
+        found = filters.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count("*").alias("n")).first()
+        bits, n_filters = found["m"] if bits is None else bits, found["n"]
+    if bits <= BROADCAST_BITS and n_filters <= BROADCAST_FILTERS:
         full = packed(filters, words).select("filter_id", "kind", "m", "floor_k", "bound", "s1", "s2", "sa", "words")
         both = items.join(F.broadcast(full), "filter_id")
         return both.withColumn("passes", F.forall(indices(F.col("item"), kind), _has)).select(*items.columns, "passes")

@@ -24,7 +24,7 @@ def measure(inserts: DataFrame, tests: DataFrame, specs: Iterable[FilterSpec], s
     words = filters.build(inserts.select("item").distinct().select(names, "item"), f)
     member = inserts.select("item").distinct().withColumn("member", F.lit(True))
     t = tests.select("item").join(member, "item", "left").select(names, "item", F.col("member").isNotNull().alias("member"))
-    probed = filters.probe(t, f, words, bits=sum(s.m for s in specs))
+    probed = filters.probe(t, f, words, bits=sum(s.m for s in specs), n_filters=len(specs))
     out = probed.groupBy("filter_id").agg(
         F.count_if(F.col("passes") & ~F.col("member")).alias("false_positives"), F.count("*").alias("tested")
     )

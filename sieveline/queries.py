@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, theory
-from .operators import codec, diff, filters, fpr, frames, images, verify
+from .operators import blobs, codec, diff, filters, fpr, frames, images, verify, video
 from .oracle_hash import hashes
+from .sources import synthetic
 from .plans.config import DENSITY_THRESHOLD, LEAST_DENSITY, FilterSpec
 
 #: Filters of the membership queries.
@@ -261,8 +262,83 @@ def frame_diff_density(spark, sf_dir):
 def frame_apply_diff(spark, sf_dir):
     """Each frame's predecessor with the changed values put in."""
     base = embedding_frames(spark, sf_dir).withColumn("frame_idx", F.col("frame_idx") + 1)
-    out = diff.apply_difference(base, _diffs(spark, sf_dir))
-    return out.select("frame_idx", F.posexplode("pixels").alias("pos", "v")).join(_diffs(spark, sf_dir).select("frame_idx"), "frame_idx")
+    changes = _diffs(spark, sf_dir)
+    out = diff.apply_difference(base.join(changes.select("video_id", "frame_idx"), ["video_id", "frame_idx"]), changes)
+    return out.select("frame_idx", F.posexplode("pixels").alias("pos", "v"))
+
+
+def frame_replay(spark, sf_dir):
+    """All frames from the first one and lossless differences: a digest of each."""
+    f = embedding_frames(spark, sf_dir)
+    first = f.where(F.col("frame_idx") == 0)
+    out = diff.replay(first, diff.differences(f, 0.0, any_channel=True))
+    return out.groupBy("frame_idx").agg(F.sum(F.col("v") * (F.col("at") + 1)).cast("long").alias("digest"))
+
+
+def frame_keyframes(spark, sf_dir):
+    return images.keyframes(embedding_frames(spark, sf_dir), 12).select("frame_idx", "is_keyframe", "keyframe_idx")
+
+
+def frame_resize(spark, sf_dir):
+    half = frames.resize(embedding_frames(spark, sf_dir), 0.5)
+    return half.select("frame_idx", "height", "width", F.posexplode("pixels").alias("pos", "v"))
+
+
+def frame_planes(spark, sf_dir):
+    """Sizes and sums of the planes that a frame is tagged with."""
+    f = images.with_planes(images.convert(color_frames(spark, sf_dir), "bgr2yuv"))
+    total = lambda c: F.aggregate(F.col(f"yuv.{c}.data"), F.lit(0), lambda n, v: n + v).alias(f"sum_{c}")
+    return f.select("frame_idx", "yuv.format", F.col("yuv.u.h").alias("h"), F.col("yuv.v.w").alias("w"), total("y"), total("u"), total("v"))
+
+
+def diff_records(spark, sf_dir):
+    """Masks and changed values read back from difference records, a row a frame."""
+    mask, values = blobs.read_diff_records(blobs.diff_records(_diffs(spark, sf_dir)))
+    m = mask.groupBy("stream_id").agg(F.sum("bit").cast("long").alias("changed"), F.sum(F.col("bit") * (F.col("pos") + 1)).cast("long").alias("places"))
+    v = values.groupBy("stream_id").agg(F.sum(F.col("v") * (F.col("rank") + 1)).cast("long").alias("weighted"))
+    out = m.join(v, "stream_id", "left")
+    return out.select(F.split("stream_id", "/")[1].cast("int").alias("frame_idx"), "changed", "places", F.coalesce("weighted", F.lit(0)).alias("weighted"))
+
+
+def color_spaces(spark, sf_dir):
+    return video.verify_color_spaces(color_frames(spark, sf_dir))
+
+
+def fpr_improvement(spark, sf_dir):
+    r = fpr_compare(spark, sf_dir).groupBy().pivot("filter_id", ["standard", "rational"]).agg(F.first("false_positives"))
+    better = F.round(theory.improvement_percent(F.col("standard").cast("double"), F.col("rational").cast("double")), 6)
+    return r.select("standard", "rational", better.alias("improvement_percent"))
+
+
+def fpr_trials(spark, sf_dir):
+    """Ten trials: strangers by the last digit of their key, against the theoretical rate."""
+    f, words = _bits(spark, sf_dir, STANDARD)
+    items = strangers(spark, sf_dir).select(F.lit("f").alias("filter_id"), "item")
+    per = filters.probe(items, f, words, "standard", M, 1).groupBy(F.substring("item", -1, 1).alias("trial")).agg(F.avg(F.col("passes").cast("int")).alias("rate"))
+    t = fpr.trials(per, 0.05)
+    return t.select("trials", F.round("mean_rate", 9).alias("mean_rate"), F.round("relative_error_percent", 6).alias("relative_error_percent"))
+
+
+def synthetic_square(spark, sf_dir):
+    return synthetic.square_with_hole(spark).groupBy("y").agg(F.sum("v").cast("long").alias("bright"), F.count_if(F.col("v") > 0).alias("lit"))
+
+
+def synthetic_shapes(spark, sf_dir):
+    f = synthetic.shape_frames(spark)
+    px = f.select("frame_idx", F.posexplode("pixels").alias("at", "v"))
+    return px.groupBy("frame_idx", (F.col("at") % 3).alias("channel")).agg(F.sum("v").cast("long").alias("total"))
+
+
+def synthetic_random(spark, sf_dir):
+    """Counts of random words and bits that fit what was asked for."""
+    w = synthetic.random_strings(spark, 2000)
+    fit = w.agg(F.count("*").alias("n"), F.count_if(F.col("item").rlike("^[a-z]{10}$")).alias("fit"), F.countDistinct("item").alias("distinct")).select(F.lit("words").alias("kind"), "n", "fit", "distinct")
+    out = fit
+    for p in (0.1, 0.2, 0.3, 0.4):
+        b = synthetic.bernoulli_bits(spark, 100_000, p, "s")
+        near = F.when(F.abs(F.avg("bit") - p) < 0.01, F.count("*")).otherwise(0)
+        out = out.union(b.agg(F.count("*").alias("n"), near.alias("fit"), F.countDistinct("bit").alias("distinct")).select(F.lit(f"bits {p}").alias("kind"), "n", "fit", "distinct"))
+    return out
 
 
 def adaptive_threshold(spark, sf_dir):
@@ -310,7 +386,14 @@ def container_roundtrip(spark, sf_dir):
 
 
 def video_stats(spark, sf_dir):
-    return frames.statistics(frames.compress(binary_frames(spark, sf_dir)))
+    s = frames.statistics(frames.compress(binary_frames(spark, sf_dir)))
+    return s.select("video_id", "frame_count", "original_size", "keyframes", "keyframe_ratio", "color_space")
+
+
+def video_sizes(spark, sf_dir):
+    """What the compressed frames take; depends on the zlib at hand."""
+    s = frames.statistics(frames.compress(binary_frames(spark, sf_dir)))
+    return s.select("video_id", "compressed_size", "compression_ratio", "space_savings")
 
 
 NAMES = [
@@ -318,7 +401,8 @@ NAMES = [
     std_membership, rational_membership, no_false_negatives, fpr_compare, fpr_sweep_k, fpr_sweep_m, codec_compress_stats, codec_witness,
     codec_roundtrip, text_density, text_roundtrip, image_binarize, image_roundtrip, blob_sizes, frame_sample, frame_limit, frame_diff_mask,
     frame_changed_values, frame_diff_density, frame_apply_diff, adaptive_threshold, gray_and_yuv, verify_frames, verify_examples,
-    verify_channels, zlib_roundtrip, container_roundtrip, video_stats,
+    verify_channels, zlib_roundtrip, container_roundtrip, video_stats, video_sizes, frame_replay, frame_keyframes, frame_resize, frame_planes,
+    diff_records, color_spaces, fpr_improvement, fpr_trials, synthetic_square, synthetic_shapes, synthetic_random,
 ]
 
 
@@ -466,4 +550,25 @@ SELECT frame_idx, differences_found, rank::INT AS rank, (pos // 8)::INT AS y, (p
         "zlib_roundtrip": f"WITH {COLOR} SELECT frame_idx, 3 AS channels, pos * 3 + c AS pos, CASE c WHEN 0 THEN b WHEN 1 THEN g ELSE r END AS v FROM bgr, (SELECT unnest([0, 1, 2])::INT AS c)",
         "container_roundtrip": f"""WITH {COLOR}, h AS (SELECT frame_idx, string_agg(printf('%02x%02x%02x', b, g, r), '' ORDER BY pos) AS hex FROM bgr GROUP BY 1)
 SELECT frame_idx, 8 AS height, 8 AS width, 3 AS channels, sha256(unhex(hex)) AS sha256 FROM h""",
+        "video_stats": f"WITH {COLOR} SELECT 'emb' AS video_id, count(DISTINCT frame_idx) AS frame_count, (count(*) * 3)::BIGINT AS original_size, count(DISTINCT frame_idx) AS keyframes, 1.0::DOUBLE AS keyframe_ratio, 'BGR' AS color_space FROM bgr",
+        "frame_replay": f"WITH {FRAMES} SELECT frame_idx, sum(v * (pos + 1))::BIGINT AS digest FROM px GROUP BY 1",
+        "frame_keyframes": "SELECT vec_id::INT AS frame_idx, vec_id % 12 = 0 AS is_keyframe, (vec_id - vec_id % 12)::INT AS keyframe_idx FROM embeddings",
+        "frame_resize": f"WITH {FRAMES} SELECT frame_idx, 4 AS height, 4 AS width, ((pos // 16) * 4 + (pos % 8) // 2)::INT AS pos, round_even(sum(v) / 4.0, 0)::INT AS v FROM px GROUP BY ALL",
+        "frame_planes": f"WITH {COLOR}, y AS (SELECT *, {luma} AS luma FROM bgr) SELECT frame_idx, 'YUV444' AS format, 8 AS h, 8 AS w, sum(luma)::INT AS sum_y, sum({u})::INT AS sum_u, sum({v})::INT AS sum_v FROM y GROUP BY 1",
+        "diff_records": f"""WITH {DIFFS}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, changed ORDER BY pos) AS rank FROM m)
+SELECT frame_idx, sum(changed)::BIGINT AS changed, sum(changed * (pos + 1))::BIGINT AS places, sum(changed * v * rank)::BIGINT AS weighted FROM k GROUP BY 1""",
+        "color_spaces": "SELECT s AS color_space, true AS lossless, true AS all_lossless FROM (VALUES ('BGR'), ('RGB'), ('YUV')) v(s)",
+        "fpr_improvement": _many([("standard", "standard", M, K_STANDARD), ("rational", "rational", M, K_RATIONAL)]) + MEASURED.format(tests="every")
+        + ", o AS (SELECT max(false_positives) FILTER (WHERE id = 'standard') AS standard, max(false_positives) FILTER (WHERE id = 'rational') AS rational FROM r)"
+        + " SELECT standard, rational, CASE WHEN standard > 0 THEN round((standard - rational) / standard * 100, 6) END AS improvement_percent FROM o",
+        "fpr_trials": _one("standard") + ", t AS (SELECT right(t, 1) AS trial, avg((t NOT IN (SELECT t FROM bad))::INT) AS rate FROM others GROUP BY 1)"
+        + " SELECT count(*) AS trials, round(avg(rate), 9) AS mean_rate, round(abs(avg(rate) - 0.05) / 0.05 * 100, 6) AS relative_error_percent FROM t",
+        "synthetic_square": """WITH p AS (SELECT (i // 100)::INT AS y, i % 100 AS x FROM (SELECT unnest(generate_series(0, 9999)) AS i)),
+v AS (SELECT y, (y BETWEEN 25 AND 74 AND x BETWEEN 25 AND 74 AND NOT (y BETWEEN 40 AND 59 AND x BETWEEN 40 AND 59))::INT AS lit FROM p)
+SELECT y, sum(lit * 255)::BIGINT AS bright, sum(lit)::BIGINT AS lit FROM v GROUP BY 1""",
+        "synthetic_shapes": """WITH p AS (SELECT f::INT AS frame_idx, i // 100 AS y, i % 100 AS x FROM (SELECT unnest(generate_series(0, 9999)) AS i), (SELECT unnest(generate_series(0, 4)) AS f)),
+v AS (SELECT frame_idx, CASE WHEN y BETWEEN 20 AND 60 AND x BETWEEN 20 + 2 * frame_idx AND 50 + 2 * frame_idx THEN 255 ELSE 30 END AS a,
+  CASE WHEN (y - 70) * (y - 70) + (x - 70) * (x - 70) <= 225 THEN 200 ELSE 30 END AS b, 30 + frame_idx AS c FROM p)
+SELECT frame_idx, k::INT AS channel, sum(CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END)::BIGINT AS total FROM v, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL""",
+        "synthetic_random": "SELECT * FROM (VALUES ('words', 2000::BIGINT, 2000::BIGINT, 2000::BIGINT), ('bits 0.1', 100000, 100000, 2), ('bits 0.2', 100000, 100000, 2), ('bits 0.3', 100000, 100000, 2), ('bits 0.4', 100000, 100000, 2)) v(kind, n, fit, \"distinct\")",
     }

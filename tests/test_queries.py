@@ -15,9 +15,9 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(own.queries()) - set(SQL) == {"video_stats"}
-    s = own.video_stats(spark, SF).first()
-    assert s.frame_count > 0 and 0 < s.compressed_size
+    assert set(own.queries()) - set(SQL) == {"video_sizes"}
+    s = own.video_sizes(spark, SF).first()
+    assert 0 < s.compressed_size and s.space_savings == pytest.approx(1 - s.compression_ratio)
 
 
 def test_entry(spark):
