@@ -134,7 +134,7 @@ def corpus_of(counts: DataFrame, n_docs: int) -> Corpus:
 class _Slots(dict):
     """word -> its place in the dictionary, or -1 - kind; bounded, hot words come back at once."""
 
-    def __init__(self, corpus: Corpus, most: int = 400_000):
+    def __init__(self, corpus: Corpus, most: int = 1_000_000):
         super().__init__()
         self.of_key = dict(zip(corpus.keys.tolist(), range(len(corpus.keys))))
         self.most = most
@@ -221,21 +221,27 @@ class Network:
         if not small:
             a -= a.max(axis=1, keepdims=True)
         chosen = a[np.arange(len(a)), at]
-        return chosen - np.log(np.exp(a, out=a).sum(axis=1))
+        return chosen - np.log(np.exp(a, out=a) @ np.ones(a.shape[1], a.dtype))
 
     def scores(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol given the state before it."""
         p, small = self.p, self._small()
         named = ids < VOCABULARY
         cls = np.where(named, ids // PER_CLASS, ids - VOCABULARY + self.classes)
-        out = self._picked(h @ p["wc"] + p["bc"], cls, small).astype(np.float64)
+        out = np.empty(len(ids))
+        for i in range(0, len(ids), 4096):  # what fits a core's cache
+            a = h[i : i + 4096] @ p["wc"]
+            a += p["bc"]
+            out[i : i + 4096] = self._picked(a, cls[i : i + 4096], small)
         order = np.argsort(cls.astype(np.int16), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
         hs, ws = h[order], ids[order] % PER_CLASS
         for c in range(self.classes):
             w = slice(ends[c], ends[c + 1])
             if ends[c] < ends[c + 1]:
-                out[order[w]] += self._picked(hs[w] @ p["ww"][c] + p["bw"][c], ws[w], small)
+                a = hs[w] @ p["ww"][c]
+                a += p["bw"][c]
+                out[order[w]] += self._picked(a, ws[w], small)
         return out
 
     @staticmethod

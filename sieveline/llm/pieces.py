@@ -373,7 +373,7 @@ def bounded(batch: pa.RecordBatch, rows: int = 1024, size: int = 4 << 20) -> Ite
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
 
-def coded_batches(batches: Iterator[pa.RecordBatch], model_path: str, check: bool, with_ids: bool, cache_size: int) -> Iterator[pa.RecordBatch]:
+def coded_batches(batches: Iterator[pa.RecordBatch], model_path: str, check: bool, with_ids: bool, cache_size: int, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """What ``encode_documents`` returns for batches of doc_id and text."""
     model, library = _model(model_path, cache_size), None
     if check:
@@ -386,7 +386,7 @@ def coded_batches(batches: Iterator[pa.RecordBatch], model_path: str, check: boo
         return hashlib.sha256(text.encode()).hexdigest()
 
     for batch in batches:
-        for piece in bounded(batch):  # bounds what is held as Python objects
+        for piece in bounded(batch, size=batch_bytes):  # bounds what is held as Python objects
             texts = [t or "" for t in piece.column(1).to_pylist()]
             coded = model.encode_batch(texts)
             agrees = [True] * len(texts)
@@ -414,13 +414,13 @@ def coded_batches(batches: Iterator[pa.RecordBatch], model_path: str, check: boo
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees", *["ids"] * with_ids])
 
 
-def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids: bool = False, cache_size: int = 700_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids: bool = False, cache_size: int = 700_000, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees (and ids where asked): a row a document.
 
     Every text is encoded by the agenda, with an end id only, and its ids are decoded again.  With ``check`` the
     sentencepiece library encodes every whole text too, a batch at a time, and decodes its own ids; where either
     differs from ours the row has the library's, and ``agrees`` is false.
-    ``model_path`` must exist on every worker.  Memory: a batch of up to 4 MB or one longer text, and a
+    ``model_path`` must exist on every worker.  Memory: a batch of up to ``batch_bytes`` or one longer text, about 30 times as its parts, and a
     cache of bounded size (two generations of ``cache_size`` parts and a batch's, about 200 bytes each).
 
     Null text is empty: the end id alone, decoded to an empty text.  Null ids and repeated rows stay as they
@@ -429,6 +429,6 @@ def encode_documents(docs: DataFrame, model_path: str, check: bool = True, ids:
     schema = SCHEMA + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from coded_batches(batches, model_path, check, ids, cache_size)
+        yield from coded_batches(batches, model_path, check, ids, cache_size, batch_bytes)
 
     return docs.select("doc_id", "text").mapInArrow(in_worker(run, "pieces", release), schema)
