@@ -11,7 +11,10 @@ from sieveline.llm.queries import piece_model
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language go on, with the language found as lang; the others go."""
+    """Documents in a known language go on, with the language found as lang; the others, and those without text, go.
+
+    Repeated rows and null ids are rows like others; no row gives none.
+    """
     return language.keep_identified(docs)
 
 
@@ -46,8 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix."""
-    return pieces.encode_documents(docs, piece_model(), cache_size=350_000)  # workers also hold what earlier stages left
+    """Token counts and digests of every row of the mix; null text is empty, null ids and repeated rows stay, no row gives none."""
+    return pieces.encode_documents(docs, piece_model(), cache_size=60_000, batch_bytes=512 << 10)  # earlier stages have left executors little room
 
 
 STAGES = [
