@@ -114,6 +114,9 @@ def identify(rows: DataFrame, model: TextModel | None = None, least: float = LEA
     is kept.  So is one without a declaration if over half of its host's declarations are one such label.  Their
     confidence is null.
 
+    Of languages of equal score the first by code point wins, known ones before "no known language"; a host's two labels never
+    both have over half.  Whole texts count, however long.
+
     No labelled row to fit on: nothing is known, no document is kept.  Null declared, suffix or host: no evidence of that kind.  Null ids and repeated rows are rows like others.
     Empty table: no rows.
     """

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveline.llm import gru, language, pieces
+from sieveline.llm import gru, language, pieces, queries
 from sieveline.llm.queries import piece_model
 
 random.seed(3)
@@ -314,3 +314,84 @@ def test_every_declared_language_counts(spark):
     got = {r.id: r for r in language.identify(given.union(many)).where("id < 10000").collect()}
     assert sum(got[r[0]].language == r[2] for r in rows) >= 0.99 * len(rows)
     assert [got[i].language for i in (3000, 3001, 3002, 3003)] == ["rare", "rare", "rare", None] and got[3001].kept and not got[3003].kept
+
+
+def plain_languages(rows):
+    """(id, declared, language, confidence, kept) of rows (id, text, declared, suffix, host), one at a time; fitted on all labelled ones."""
+
+    def buckets(text):
+        raw = b" ".join((text or "").encode().lower().split())
+        raw = bytes(48 if 48 <= b <= 57 else b for b in b" " + raw + b" ") if raw else b""
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(raw) - 2)]
+
+    labelled = [r for r in rows if r[2] is not None and r[1] is not None]
+    n = collections.Counter(r[2] for r in labelled)
+    langs = sorted(x for x in n if n[x] >= language.LEAST_ROWS or n[x] * 1000 >= len(labelled))
+    counts = {x: collections.Counter() for x in langs}
+    for r in labelled:
+        if r[2] in counts:
+            counts[r[2]].update(buckets(r[1]))
+    logp = [lambda b, c=c, all_=sum(c.values()): math.log((c[b] + 0.1) / (all_ + 0.1 * language.BUCKETS)) for c in counts.values()]
+    logp.append(lambda b: -math.log(language.BUCKETS))
+    ll = []
+    for r in rows:
+        found = collections.Counter(buckets(r[1]))
+        ll.append([language.TEMPER * sum(k * f(b) for b, k in found.items()) for f in logp] if found else None)
+    best = [x.index(max(x)) if x else None for x in ll]
+    known = range(len(langs))
+    votes = lambda use: [sum(b == i and use(r) for r, b in zip(rows, best)) for i in known]
+    total = votes(lambda r: True)
+    overall = [(t + 1) / (sum(total) + len(langs)) for t in total]
+    labels = {r[2] for r in rows if r[2] is not None}
+    chance = {x: [math.log((v + 1) / (t + 1 + len(labels))) for v, t in zip(votes(lambda r, x=x: r[2] == x), total)] for x in labels}
+    by_suffix = {x: [v + o * 50 for v, o in zip(votes(lambda r, x=x: r[3] == x), overall)] for x in {r[3] for r in rows}}
+    by_host = {x: votes(lambda r, x=x: r[4] == x) for x in {r[4] for r in rows}}
+    said_at = {x: collections.Counter(r[2] for r in rows if r[4] == x and r[2] is not None) for x in by_host if x is not None}
+    out = []
+    for (i, _, declared, suffix, host), x, b in zip(rows, ll, best):
+        if x is None:
+            out.append((i, declared, None, None, False))
+            continue
+        most = said_at[host].most_common(1) if host is not None else []
+        of_host = most[0][0] if most and most[0][1] * 2 > sum(said_at[host].values()) else None
+        trusted = declared if declared is not None else of_host
+        if trusted is not None and trusted not in langs:
+            out.append((i, declared, trusted, None, True))
+            continue
+        parent = [v / sum(by_suffix[suffix]) for v in by_suffix[suffix]] if suffix is not None else overall
+        seen = [v - (b == k) for k, v in enumerate(by_host[host])] if host is not None else [0] * len(langs)
+        c = chance.get(declared, [0.0] * len(langs))
+        score = [math.log((s + p * 20) / (sum(seen) + 20) * (1 - 1e-3)) + q for s, p, q in zip(seen, parent, c)]
+        score = [s + y for s, y in zip([*score, math.log(1e-3) + sum(c) / len(langs)], x)]
+        at = score.index(max(score))
+        sure = 1 / sum(math.exp(s - max(score)) for s in score)
+        name = langs[at] if at < len(langs) and sure >= 0.5 else None
+        out.append((i, declared, name, sure, name is not None))
+    return out
+
+
+@pytest.mark.parametrize("name", ["op8_language", "language_id_pages"])
+def test_language_queries_equal_a_plain_version(spark, tmp_path, name):
+    kind = "documents" if name == "op8_language" else "pages"
+    table = spark.read.parquet(f"/root/testdata/sf0.001/{kind}.parquet")
+    if kind == "documents":
+        rnd = random.Random(4)
+        say = lambda lang, n: " ".join(rnd.choices(TEXTS[lang].split(), k=n))
+        odd = [(10**6 + i, say(x := rnd.choice(["de", "fr"]), rnd.randrange(1, 30)), rnd.choice([x, x, None, "en"]), rnd.choice(["s1", "s2", None])) for i in range(120)]
+        odd += [(None, say("de", 9), "de", None), (2 * 10**6, None, "de", "s1"), (2 * 10**6 + 1, "", None, "s1"), (2 * 10**6 + 2, " \t\n", "fr", "s2")]
+        odd += [(2 * 10**6 + 3, say("fr", 200_000), None, "s1"), (2 * 10**6 + 4, "zz", "xx-rare", "s9"), (2 * 10**6 + 5, "zz 12", None, "s9")]
+        odd += [odd[0]] * 3
+        more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")
+        table = table.unionByName(more, allowMissingColumns=True)
+    table.write.parquet(str(tmp_path / f"{kind}.parquet"))
+    rows = (language.of_documents if kind == "documents" else language.of_pages)(spark.read.parquet(str(tmp_path / f"{kind}.parquet")))
+    want = plain_languages([(r.id, r.text, r.declared, r.suffix, r.host) for r in rows.collect()])
+    got = [(r[0], r.declared, r.language, r.confidence, r.kept) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, str(r[1]), str(r[2]), r[3] is None, r[3] or 0)
+    want, got = sorted(want, key=order), sorted(got, key=order)
+    assert [(*r[:3], r[4]) for r in got] == [(*r[:3], r[4]) for r in want]
+    assert all((a[3] is None) == (b[3] is None) and (a[3] is None or a[3] == pytest.approx(b[3], abs=1e-6)) for a, b in zip(got, want))
+    assert len({r[2] for r in got}) > 1
+    empty = tmp_path / "empty"
+    table.limit(0).write.parquet(str(empty / f"{kind}.parquet"))
+    assert queries.queries()[name](spark, str(empty)).count() == 0
