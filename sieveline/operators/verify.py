@@ -77,6 +77,41 @@ def examples(original: DataFrame, restored: DataFrame, most: int = 10) -> DataFr
     )
 
 
+def bit_exact(original: DataFrame, restored: DataFrame, most: int = 10) -> DataFrame:
+    """video_id, frame_idx, status, differences_found, examples: a row a frame of either side.
+
+    status is equal, differs, shape (heights, widths or channels are unlike), missing (not restored) or extra (not in the
+    original); the last two columns are null for the latter three.  examples are the first ``most`` differing values, in
+    order of row, column and channel, each y, x, c, original_value, restored_value, difference.  Frames that occur more than
+    once on a side are compared with all of the other's.
+    """
+    fields = ["height", "width", "channels", "pixels"]
+    key = ["video_id", "frame_idx"]
+    o = original.select(*key, F.struct(*fields).alias("o"))
+    both = o.join(restored.select(*key, F.struct(*fields).alias("r")), key, "full_outer")
+    same = F.lit(True)
+    for f in fields[:3]:
+        same = same & F.col(f"o.{f}").eqNullSafe(F.col(f"r.{f}"))
+    here = F.col("o").isNotNull() & F.col("r").isNotNull() & same
+    pair = F.zip_with("o.pixels", "r.pixels", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    at = F.transform(pair, lambda v, i: F.struct(i.alias("i"), v["a"].alias("a"), v["b"].alias("b")))
+    both = both.withColumn("d", F.when(here, F.filter(at, lambda v: ~v["a"].eqNullSafe(v["b"]))))
+    status = (
+        F.when(F.col("r").isNull(), "missing").when(F.col("o").isNull(), "extra").when(~same, "shape")
+        .when(F.size("d") > 0, "differs").otherwise("equal")
+    )
+    row = F.col("o.width") * F.col("o.channels")
+    found = F.transform(
+        F.slice("d", 1, most),
+        lambda v: F.struct(
+            F.floor(v["i"] / row).cast("int").alias("y"), F.floor(v["i"] % row / F.col("o.channels")).cast("int").alias("x"),
+            (v["i"] % F.col("o.channels")).cast("int").alias("c"), v["a"].alias("original_value"), v["b"].alias("restored_value"),
+            F.abs(v["a"] - v["b"]).alias("difference"),
+        ),
+    )
+    return both.select(*key, status.alias("status"), F.when(here, F.size("d")).alias("differences_found"), found.alias("examples"))
+
+
 def channels(original: DataFrame, restored: DataFrame) -> DataFrame:
     """video_id, frame_idx, channel, avg_diff, max_diff, num_nonzero."""
     d = F.abs(F.col("original_value") - F.col("restored_value"))

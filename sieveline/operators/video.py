@@ -10,6 +10,33 @@ from ..sources import files
 from . import frames, images, verify
 
 
+def read_video(
+    spark: SparkSession, path: str, max_frames: int = 0, target_fps: float | None = None, scale: float = 1.0, color_space: str = "BGR",
+    fps: float | None = None, **raw: object,
+) -> DataFrame:
+    """Byte frames (``frames.FRAME``) of a Y4M or raw file: every step-th, the first ``max_frames`` of these, resized, BGR, RGB, YUV or GRAY.
+
+    ``raw`` are the options of headerless files (width, height, format).  Without ``fps`` a Y4M file's own rate holds; a
+    headerless one is not subsampled.  Each task reads a range of frames.
+    """
+    reader = spark.read.format("raw_video")
+    files.register(spark)
+    for name, value in raw.items():
+        if value is not None:
+            reader = reader.option(name, value)
+    planes = reader.load(path)
+    fps = fps or files.frame_rate(path)
+    kept = images.sample(planes, fps or 0.0, target_fps if fps else None, max_frames)
+    how = {"BGR": None, "RGB": "bgr2rgb", "YUV": "bgr2yuv", "GRAY": "bgr2gray"}[color_space.upper()]
+    given = files.planes_to_bgr(kept)
+    if how is None and scale == 1.0:
+        return given
+    px = with_pixels(given).drop("data")
+    px = frames.resize(px, scale) if scale != 1.0 else px
+    px = images.convert(px, how) if how else px
+    return px.select("video_id", "frame_idx", "height", "width", "channels", "itemsize", images.to_binary(F.col("pixels")).alias("data"))
+
+
 def compress_video(given: DataFrame, path: str | None = None, config: VideoConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """Blobs and statistics of frames (``frames.FRAME``); with ``path`` also a container a video in that folder.
 
@@ -44,6 +71,10 @@ def verify_lossless(original: DataFrame, restored: DataFrame) -> DataFrame:
     return verify.report(with_pixels(original), with_pixels(restored))
 
 
+def verify_bit_exact(original: DataFrame, restored: DataFrame, most: int = 10) -> DataFrame:
+    return verify.bit_exact(with_pixels(original), with_pixels(restored), most)
+
+
 def diagnostics(original: DataFrame, restored: DataFrame, factor: int = 10) -> DataFrame:
     """video_id, frame_idx, pixels: differences times ``factor``, at most 255, for looking at."""
     o, r = with_pixels(original).alias("o"), with_pixels(restored).alias("r")

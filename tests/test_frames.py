@@ -140,6 +140,13 @@ def test_verification(spark):
     assert c == {(i, k): int((i, k) == (1, 0)) for i in range(3) for k in range(3)}
     r = verify.report(o, e.where("frame_idx < 2")).first()
     assert not r.lossless and r.exact_frame_matches is None and r.max_difference is None
+    far = edited[1].copy()
+    far[0, 3, 2] += 1
+    x = {v.frame_idx: v for v in verify.bit_exact(frames_of(spark, [*arrays, arrays[0]]), frames_of(spark, [arrays[0], far, arrays[2][:2]]), 1).collect()}
+    assert [x[i].status for i in range(4)] == ["equal", "differs", "shape", "missing"] and x[0].examples == [] and x[2].examples is None
+    (e1,) = x[1].examples
+    assert x[1].differences_found == 2 and (e1.y, e1.x, e1.c, e1.difference) == (0, 3, 2, 1)
+    assert [v.status for v in verify.bit_exact(o.limit(0), o).collect()] == ["extra"] * 3
     other = frames_of(spark, [a[:2] for a in arrays])
     assert verify.report(o, other).first().diff_frames == [0, 1, 2]
     s = spark.createDataFrame([("BGR", True), ("BGR", True), ("YUV", False)], "color_space string, lossless boolean")
