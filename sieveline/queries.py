@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import bits, theory
 from .operators import blobs, codec, diff, filters, fpr, frames, images, verify, video
 from .oracle_hash import hashes
-from .sources import synthetic
+from .sources import files, synthetic
 from .plans.config import DENSITY_THRESHOLD, LEAST_DENSITY, FilterSpec
 
 #: Filters of the membership queries.
@@ -368,6 +368,28 @@ def verify_examples(spark, sf_dir):
     return r.drop("video_id", "c")
 
 
+def verify_bit_exact(spark, sf_dir):
+    """Every tenth frame is missing, every tenth has another shape; digest: places, differences and values of the first three."""
+    r = edited_frames(spark, sf_dir).where("frame_idx % 10 <> 3")
+    other = F.col("frame_idx") % 10 == 4
+    r = r.withColumn("height", F.when(other, 4).otherwise(F.col("height"))).withColumn("width", F.when(other, 16).otherwise(F.col("width")))
+    x = verify.bit_exact(embedding_frames(spark, sf_dir), r, 3)
+    one = lambda s, e: s + (e["y"] * 8 + e["x"] + 1) * e["difference"] + e["restored_value"]
+    return x.select("frame_idx", "status", "differences_found", F.aggregate("examples", F.lit(0).cast("long"), one).alias("digest"))
+
+
+def planes_to_bgr(spark, sf_dir):
+    """Frames' values as luma, their first and last quarters as chroma of half the size; digest: values by place."""
+    f = embedding_frames(spark, sf_dir)
+    planes = f.select(
+        "video_id", "frame_idx", "height", "width", F.lit("YUV420").alias("format"), images.to_binary(F.col("pixels")).alias("y"),
+        images.to_binary(F.slice("pixels", 1, 16)).alias("u"), images.to_binary(F.slice("pixels", 49, 16)).alias("v"),
+    )
+    out = video.with_pixels(files.planes_to_bgr(planes))
+    by_place = F.transform("pixels", lambda v, i: v * (i + 1))
+    return out.select("frame_idx", "channels", F.aggregate(by_place, F.lit(0).cast("long"), lambda s, x: s + x).alias("digest"))
+
+
 def verify_channels(spark, sf_dir):
     r = verify.channels(embedding_frames(spark, sf_dir), edited_frames(spark, sf_dir))
     return r.select("frame_idx", "channel", F.round("avg_diff", 9).alias("avg_diff"), "max_diff", "num_nonzero")
@@ -401,7 +423,7 @@ NAMES = [
     std_membership, rational_membership, no_false_negatives, fpr_compare, fpr_sweep_k, fpr_sweep_m, codec_compress_stats, codec_witness,
     codec_roundtrip, text_density, text_roundtrip, image_binarize, image_roundtrip, blob_sizes, frame_sample, frame_limit, frame_diff_mask,
     frame_changed_values, frame_diff_density, frame_apply_diff, adaptive_threshold, gray_and_yuv, verify_frames, verify_examples,
-    verify_channels, zlib_roundtrip, container_roundtrip, video_stats, video_sizes, frame_replay, frame_keyframes, frame_resize, frame_planes,
+    verify_channels, verify_bit_exact, planes_to_bgr, zlib_roundtrip, container_roundtrip, video_stats, video_sizes, frame_replay, frame_keyframes, frame_resize, frame_planes,
     diff_records, color_spaces, fpr_improvement, fpr_trials, synthetic_square, synthetic_shapes, synthetic_random,
 ]
 
@@ -547,6 +569,14 @@ SELECT count(*) AS total_frames, bool_and(m = 0) AS lossless, count(*) FILTER (W
         "verify_examples": f"""WITH {EDITS}, b AS (SELECT *, count(*) OVER (PARTITION BY frame_idx) AS differences_found, row_number() OVER (PARTITION BY frame_idx ORDER BY pos) AS rank FROM ed WHERE o <> r)
 SELECT frame_idx, differences_found, rank::INT AS rank, (pos // 8)::INT AS y, (pos % 8)::INT AS x, o AS original_value, r AS restored_value, abs(o - r) AS difference FROM b WHERE rank <= 3""",
         "verify_channels": f"WITH {EDITS} SELECT frame_idx, 0 AS channel, round(avg(abs(o - r)), 9) AS avg_diff, max(abs(o - r)) AS max_diff, count(*) FILTER (WHERE o <> r) AS num_nonzero FROM ed GROUP BY 1",
+        "verify_bit_exact": f"""WITH {EDITS}, b AS (SELECT *, o <> r AS bad, row_number() OVER (PARTITION BY frame_idx, o <> r ORDER BY pos) AS rank FROM ed),
+g AS (SELECT frame_idx, count(*) FILTER (WHERE bad) AS n, coalesce(sum((pos + 1) * abs(o - r) + r) FILTER (WHERE bad AND rank <= 3), 0) AS digest, frame_idx % 10 IN (3, 4) AS apart FROM b GROUP BY 1)
+SELECT frame_idx, CASE WHEN frame_idx % 10 = 3 THEN 'missing' WHEN frame_idx % 10 = 4 THEN 'shape' WHEN n > 0 THEN 'differs' ELSE 'equal' END AS status,
+  CASE WHEN NOT apart THEN n END::INT AS differences_found, CASE WHEN NOT apart THEN digest END::BIGINT AS digest FROM g""",
+        "planes_to_bgr": f"""WITH {FRAMES}, q AS (SELECT a.frame_idx, a.pos, a.v AS y, u.v - 128 AS u, w.v - 128 AS w FROM px a
+  JOIN px u ON u.frame_idx = a.frame_idx AND u.pos = a.pos // 16 * 4 + a.pos % 8 // 2 JOIN px w ON w.frame_idx = a.frame_idx AND w.pos = 48 + a.pos // 16 * 4 + a.pos % 8 // 2),
+c AS (SELECT frame_idx, pos, y + {scale.format(x=f"u * {images.B_FROM_U}")} AS b, y + {scale.format(x=f"u * ({images.G_FROM_U}) + w * ({images.G_FROM_V})")} AS g, y + {scale.format(x=f"w * {images.R_FROM_V}")} AS r FROM q)
+SELECT frame_idx, 3::INT AS channels, sum(greatest(0, least(255, b)) * (3 * pos + 1) + greatest(0, least(255, g)) * (3 * pos + 2) + greatest(0, least(255, r)) * (3 * pos + 3))::BIGINT AS digest FROM c GROUP BY 1""",
         "zlib_roundtrip": f"WITH {COLOR} SELECT frame_idx, 3 AS channels, pos * 3 + c AS pos, CASE c WHEN 0 THEN b WHEN 1 THEN g ELSE r END AS v FROM bgr, (SELECT unnest([0, 1, 2])::INT AS c)",
         "container_roundtrip": f"""WITH {COLOR}, h AS (SELECT frame_idx, string_agg(printf('%02x%02x%02x', b, g, r), '' ORDER BY pos) AS hex FROM bgr GROUP BY 1)
 SELECT frame_idx, 8 AS height, 8 AS width, 3 AS channels, sha256(unhex(hex)) AS sha256 FROM h""",
