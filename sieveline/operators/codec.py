@@ -80,10 +80,11 @@ class Coded:
     raw: DataFrame
     bits: int | None = None  # of all filters together
     n_coded: int | None = None
+    passed: DataFrame | None = None  # the witness's bits by stream_id, without their order
 
     def summary(self) -> DataFrame:
         """stream_id, n, ones, p, k, l, witness_len, ratio of bits after to bits before; headers do not count."""
-        w = self.witness.groupBy("stream_id").agg(F.count("*").alias("w"))
+        w = (self.witness if self.passed is None else self.passed).groupBy("stream_id").agg(F.count("*").alias("w"))
         length = F.coalesce("w", F.lit(0))
         ratio = F.when(F.col("coded"), (F.col("l") + length) / F.col("n")).otherwise(F.lit(1.0))
         return self.plan.join(w, "stream_id", "left").select(
@@ -118,9 +119,10 @@ def compress(bits: DataFrame, variant: str = "stream", plan_: DataFrame | None =
     items = known.where("coded").select(F.col("stream_id").alias("filter_id"), F.col("pos").cast("string").alias("item"), "pos", "bit")
     words = filters.build(items.where("bit = 1").select("filter_id", "item"), f, "rational")
     passed = filters.probe(items, f, words, "rational", total, n_coded).where("passes")
-    witness = _ranked(passed.select(F.col("filter_id").alias("stream_id"), "pos", "bit")).select("stream_id", "rank", "bit")
+    passed = passed.select(F.col("filter_id").alias("stream_id"), "pos", "bit")
+    witness = _ranked(passed).select("stream_id", "rank", "bit")
     raw = known.where("not coded").select("stream_id", "pos", "bit")
-    return Coded(plan_, words, witness, raw, total, n_coded)
+    return Coded(plan_, words, witness, raw, total, n_coded, passed)
 
 
 def decompress(coded: Coded) -> DataFrame:
