@@ -66,8 +66,14 @@ def indices(item: Column, kind: str | None = None) -> Column:
 STANDARD_HASHES = 64
 
 
-def build(items: DataFrame, filters: DataFrame, kind: str | None = None) -> DataFrame:
-    """filter_id, word_no, word of filters holding ``items`` (filter_id, item); repeated items change nothing."""
+def build(items: DataFrame, filters: DataFrame, kind: str | None = None, n_filters: int | None = None) -> DataFrame:
+    """filter_id, word_no, word of filters holding ``items`` (filter_id, item); repeated items change nothing.
+
+    ``n_filters`` is the number of filters; null: unknown.  Up to ``BROADCAST_FILTERS`` of them are broadcast, whatever sizes Spark
+    expects: exploded items look smaller than they are and would be broadcast instead.
+    """
+    if n_filters is not None and n_filters <= BROADCAST_FILTERS:
+        filters = F.broadcast(filters)
     idx = items.join(filters, "filter_id").select("filter_id", F.explode(indices(F.col("item"), kind)).alias("idx"))
     return merge_words(
         idx.select("filter_id", F.shiftright("idx", 6).alias("word_no"), F.expr("shiftleft(1L, cast(idx % 64 as int))").alias("word"))
@@ -112,7 +118,8 @@ def probe(
 
     ``bits`` is the number of bits of all filters together and ``n_filters`` their number; null: found first.  Up to
     ``BROADCAST_BITS`` bits (8 MB) and ``BROADCAST_FILTERS`` filters (about 10 MB of parameters) the words travel as packed
-    arrays in one broadcast and items are not shuffled; beyond either items are numbered, their indices joined with the words, and the bits joined again by ``bool_and``.
+    arrays in one broadcast and items are not shuffled; beyond either items are numbered, their indices joined with the words, and the bits joined again by ``bool_and``,
+    by merges, since the words and the items that fail can be many more than Spark expects.
     A filter without hash functions for an item lets it pass.
     """
     if bits is None or n_filters is None:
@@ -124,12 +131,13 @@ def probe(
         return both.withColumn("passes", F.forall(indices(F.col("item"), kind), _has)).select(*items.columns, "passes")
     # a row's own bytes and number name it: rows that are equal have equal answers
     distinct = items.select("filter_id", "item").distinct()
+    filters = F.broadcast(filters) if n_filters <= BROADCAST_FILTERS else filters
     idx = distinct.join(filters, "filter_id").select("filter_id", "item", F.explode(indices(F.col("item"), kind)).alias("idx"))
     idx = idx.withColumn("word_no", F.shiftright("idx", 6))
-    found = idx.join(words, ["filter_id", "word_no"], "left")
+    found = idx.join(words.hint("merge"), ["filter_id", "word_no"], "left")
     bit = F.coalesce(F.getbit(F.col("word"), (F.col("idx") % 64).cast("int")), F.lit(0)) == 1
     failed = found.groupBy("filter_id", "item").agg(F.bool_and(bit).alias("ok")).where("not ok")
-    out = items.join(failed, ["filter_id", "item"], "left")
+    out = items.join(failed.hint("merge"), ["filter_id", "item"], "left")
     return out.withColumn("passes", F.col("ok").isNull()).select(*items.columns, "passes")
 
 

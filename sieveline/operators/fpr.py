@@ -16,17 +16,21 @@ def measure(inserts: DataFrame, tests: DataFrame, specs: Iterable[FilterSpec], s
     """filter_id, bits_set, false_positives, tested, rate of filters holding ``inserts`` (item), probed with ``tests`` (item).
 
     The rate is over all tests, members included.  All filters are built and probed in one job; items meet the
-    filters' parameters, one row each, by a broadcast.
+    filters' parameters, one row each, by a broadcast.  Members are told by one sum over inserts and tests, so that
+    nothing that grows with the items is ever broadcast; equal tests are probed once.
     """
     specs = list(specs)
     f = filters.params(spark, specs)
     names = F.explode(F.array(*[F.lit(s.filter_id) for s in specs])).alias("filter_id")
-    words = filters.build(inserts.select("item").distinct().select(names, "item"), f)
-    member = inserts.select("item").distinct().withColumn("member", F.lit(True))
-    t = tests.select("item").join(member, "item", "left").select(names, "item", F.col("member").isNotNull().alias("member"))
+    words = filters.build(inserts.select("item").distinct().select(names, "item"), f, n_filters=len(specs))
+    both = tests.select("item", F.lit(1).alias("times"), F.lit(False).alias("member")).unionByName(
+        inserts.select("item", F.lit(0).alias("times"), F.lit(True).alias("member"))
+    )
+    t = both.groupBy("item").agg(F.sum("times").alias("times"), F.bool_or("member").alias("member")).where("times > 0")
+    t = t.select(names, "item", "times", (F.col("member") & F.col("item").isNotNull()).alias("member"))
     probed = filters.probe(t, f, words, bits=sum(s.m for s in specs), n_filters=len(specs))
     out = probed.groupBy("filter_id").agg(
-        F.count_if(F.col("passes") & ~F.col("member")).alias("false_positives"), F.count("*").alias("tested")
+        F.sum(F.when(F.col("passes") & ~F.col("member"), F.col("times")).otherwise(0)).alias("false_positives"), F.sum("times").alias("tested")
     )
     return out.join(filters.bit_counts(f, words), "filter_id").select(
         "filter_id", "bits_set", "false_positives", "tested", (F.col("false_positives") / F.col("tested")).alias("rate")

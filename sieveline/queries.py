@@ -125,7 +125,7 @@ STANDARD, RATIONAL = FilterSpec("f", "standard", M, K_STANDARD), FilterSpec("f",
 
 def _bits(spark, sf_dir, spec):
     f = filters.params(spark, [spec])
-    words = filters.build(members(spark, sf_dir).select(F.lit("f").alias("filter_id"), "item"), f, spec.kind)
+    words = filters.build(members(spark, sf_dir).select(F.lit("f").alias("filter_id"), "item"), f, spec.kind, 1)
     return f, words
 
 

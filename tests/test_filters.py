@@ -88,3 +88,48 @@ def test_rates(spark):
     best = 1 - math.exp(-3 * 120 / 700)
     trials = fpr.trials(fpr.sweep_sizes(a, t, [700, 900], 120, spark).where("kind = 'standard'"), best**3).first()
     assert trials.trials == 2
+
+
+def broadcast_rows(node):
+    """Rows of each broadcast of a plan that has run."""
+    name = node.getClass().getSimpleName()
+    found = [node.metrics().apply("numOutputRows").value()] if name == "BroadcastExchangeExec" else []
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    kids = node.children()
+    return found + [n for k in below + [kids.apply(i) for i in range(kids.size())] for n in broadcast_rows(k)]
+
+
+def test_sweeps_broadcast_nothing_that_grows_with_the_items(spark, tmp_path):
+    spark.range(3000).selectExpr("cast(id as string) item").write.parquet(f"{tmp_path}/a")
+    spark.range(2000, 5000).selectExpr("cast(id as string) item").write.parquet(f"{tmp_path}/t")
+    r = fpr.sweep_hashes(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/t"), 12_000, [0.4, 2.5], spark)
+    got = {(x.kind, x.k): x for x in r.collect()}
+    rows = broadcast_rows(r._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 4
+    members, tests = [str(i) for i in range(3000)], [str(i) for i in range(2000, 5000)]
+    for kind, k in (("standard", 0.4), ("rational", 0.4), ("standard", 2.5), ("rational", 2.5)):
+        spec = FilterSpec("x", kind, 12_000, round(k) if kind == "standard" else k)
+        on = {i for w in members for i in model_indices(w, spec)}
+        false = sum(all(i in on for i in model_indices(w, spec)) for w in tests[1000:])
+        assert (got[kind, k].bits_set, got[kind, k].rate) == (len(on), false / len(tests))
+
+
+def test_large_filters_broadcast_their_parameters_only(spark, tmp_path):
+    spark.range(3000).selectExpr("'r' filter_id", "cast(id as string) item").write.parquet(f"{tmp_path}/a")
+    spark.range(2000, 5000).selectExpr("'r' filter_id", "cast(id as string) item").write.parquet(f"{tmp_path}/t")
+    spec = FilterSpec("r", "rational", 12_000, 2.5)
+    f = filters.params(spark, [spec])
+    words = filters.build(spark.read.parquet(f"{tmp_path}/a"), f, n_filters=1)
+    r = filters.probe(spark.read.parquet(f"{tmp_path}/t"), f, words, bits=filters.BROADCAST_BITS + 1, n_filters=1)
+    got = {x.item: x.passes for x in r.collect()}
+    rows = broadcast_rows(r._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 1
+    on = {i for w in range(3000) for i in model_indices(str(w), spec)}
+    assert got == {w: all(i in on for i in model_indices(w, spec)) for w in map(str, range(2000, 5000))}
+
+
+def test_repeated_and_null_tests_count_each_time(spark):
+    a = spark.createDataFrame([("1",), ("1",), (None,)], "item string")
+    t = spark.createDataFrame([("1",), ("1",), ("2",), ("2",), ("2",), (None,), (None,)], "item string")
+    r = fpr.measure(a, t, [FilterSpec("all", "standard", 64, 0)], spark).first()
+    assert (r.false_positives, r.tested, r.rate) == (5, 7, 5 / 7)
